@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from . import language_id, substring_dedup
+from . import embedding_dedup, language_id, minhash_dedup, nearest_neighbours, quality_classifier, substring_dedup, token_counts
 from ._cluster import Workspace
 
 
@@ -34,9 +34,45 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.strip(docs, covered, digest=True)
 
 
+def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicate_vectors(table(spark, sf_dir, "embeddings"), Workspace(spark, "op3"), 0.95)
+
+
+def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest_neighbours.search(vectors, F.col("id") % 20 == 0, Workspace(spark, "op4"), k=20)
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality_classifier.fit(docs, table(spark, sf_dir, "labels"), ~held_out())
+    scored = quality_classifier.score(docs, model)
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents enter as one batch of inserts; its retry changes nothing."""
+    import public_tokenizers
+
+    rollup = token_counts.TokenRollup(spark, Workspace(spark, "op6").path)
+    counts = token_counts.signed_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, "byte_bpe_50k")
+    for _ in range(2):
+        rollup.commit("documents", counts)
+    return rollup.totals()
+
+
+def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), Workspace(spark, "op9"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_embedding_near_dedup": op3_embedding_near_dedup,
+    "op4_nearest_neighbours": op4_nearest_neighbours,
+    "op5_quality_classifier": op5_quality_classifier,
+    "op6_token_counts": op6_token_counts,
+    "op9_minhash_near_dedup": op9_minhash_near_dedup,
 }
 
 ORACLES: dict[str, str] = {}
