@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from . import embedding_dedup, language_id, minhash_dedup, nearest_neighbours, quality_classifier, substring_dedup, token_counts
+from . import embedding_dedup, language_id, minhash_dedup, nearest_neighbours, quality_classifier, secret_scan, substring_dedup, token_counts
 from ._cluster import Workspace
 
 
@@ -61,6 +61,14 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup.totals()
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(table(spark, sf_dir, "documents"), Workspace(spark, "op8"))
+    kinds = [r.kind for r in secret_scan.BASE]
+    base = secret_scan.of_kinds("spans", kinds)
+    counts = [F.size(secret_scan.of_kinds("spans", [k])).cast("long").alias(f"n_{k}") for k in kinds]
+    return found.select("doc_id", *counts, F.sha2(secret_scan.span_text(base), 256).alias("base_sha256"), secret_scan.span_text(F.col("spans")).alias("spans"))
+
+
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), Workspace(spark, "op9"))
 
@@ -72,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_nearest_neighbours": op4_nearest_neighbours,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_token_counts": op6_token_counts,
+    "op8_secret_scan": op8_secret_scan,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
 }
 
