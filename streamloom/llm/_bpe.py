@@ -20,7 +20,7 @@ LONGEST = 96
 
 
 class PairTable:
-    """(left, right) -> rank by open addressing; rank -> merged symbol."""
+    """(left, right) -> rank by open addressing; rank -> merged symbol, or where several share a rank (left, right) -> symbol."""
 
     def __init__(self, left: np.ndarray, right: np.ndarray, merged: np.ndarray, rank: np.ndarray):
         keys = left.astype(U64) << U64(32) | right.astype(U64)
@@ -36,6 +36,16 @@ class PairTable:
                 self.keys[a], self.ranks[a] = k, r
         self.merged = np.zeros(int(rank.max()) + 1 if len(rank) else 1, np.int32)
         self.merged[rank] = merged
+        shared = np.unique(rank[self.merged[rank] != merged])
+        self.merged[shared] = -1
+        self.several = {(int(a), int(b)): int(m) for a, b, m, r in zip(left, right, merged, rank) if self.merged[r] < 0}
+
+    def symbols(self, rank: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """What pairs of these ranks become."""
+        out = self.merged[rank]
+        for i in np.flatnonzero(out < 0).tolist():
+            out[i] = self.several[int(left[i]), int(right[i])]
+        return out
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys * U64(0x9E3779B97F4A7C15)) >> U64(64 - self.bits)).astype(np.int64)
@@ -115,7 +125,7 @@ def merge_rows(ids: np.ndarray, pairs: PairTable, keys: np.ndarray | None = None
             at = np.arange(len(live))
             if not len(live):
                 break
-        ids[at, best] = pairs.merged[low]
+        ids[at, best] = pairs.symbols(low, ids[at, best], ids[at, best + 1])
         keep = np.ones((len(live), width), bool)
         keep[at, best + 1] = False
         ids = ids[keep].reshape(len(live), width - 1)
@@ -171,7 +181,7 @@ def merge_one(ids: list[int], pairs: PairTable, key: int = 0, skip: Skip | None
         if ids[i] == -2 or end[i] != mid or after[i] >= n or end[after[i]] != stop:
             continue
         j = after[i]
-        ids[i], ids[j], end[i] = int(pairs.merged[r]), -2, stop
+        ids[i], ids[j], end[i] = int(pairs.symbols(np.array([r]), [ids[i]], [ids[j]])[0]), -2, stop
         after[i] = after[j]
         if after[i] < n:
             before[after[i]] = i

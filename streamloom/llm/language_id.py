@@ -159,27 +159,27 @@ class CrossParser:
         return [self.languages[b] if ok else "und" for b, ok in zip(best, letter)], score
 
 
-def identify(docs: DataFrame, sample: dict[str, list[str]], key: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """`keep` columns (the key by default) with lang_pred and lang_score; score is the winner's share of 2**(-4 bits)."""
+def identify(docs: DataFrame, sample: dict[str, list[str]], key: str = "doc_id", text: str = "text", keep: list[str] | None = None, names: tuple[str, str] = ("lang_pred", "lang_score")) -> DataFrame:
+    """`keep` columns (the key by default) with prediction and score, called `names`; score is the winner's share of 2**(-4 bits)."""
     columns = [key] if keep is None else keep
     rows = docs.select(*columns, *([] if text in columns else [text]))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in columns) + ", lang_pred string, lang_score double"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in columns) + f", `{names[0]}` string, `{names[1]}` double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = None
         for batch in batches:
             parser = parser or CrossParser(sample)
             texts = [t or "" for t in batch.column(text).to_pylist()]
-            names, scores, a = [], [], 0
+            found, scores, a = [], [], 0
             while a < len(texts):
                 b, size = a, 0
                 while b < len(texts) and (b == a or size + len(texts[b]) <= SLICE_CHARS):
                     size += len(texts[b])
                     b += 1
                 got = parser.predict(texts[a:b])
-                names += got[0]
+                found += got[0]
                 scores.append(got[1])
                 a = b
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(names, pa.string()), pa.array(np.concatenate([*scores, []]), pa.float64())], [*columns, "lang_pred", "lang_score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(found, pa.string()), pa.array(np.concatenate([*scores, []]), pa.float64())], [*columns, *names])
 
     return rows.mapInArrow(run, schema)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from . import embedding_dedup, language_id, minhash_dedup, nearest_neighbours, packing, quality_classifier, secret_scan, substring_dedup, token_counts
+from . import embedding_dedup, language_id, minhash_dedup, nearest_neighbours, packing, piece_codec, quality_classifier, secret_scan, substring_dedup, token_counts
 from ._cluster import Workspace
 
 
@@ -31,7 +31,7 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     covered = substring_dedup.deduplicate(docs, Workspace(spark, "op2"))
-    return substring_dedup.strip(docs, covered, digest=True)
+    return substring_dedup.strip(docs, covered)
 
 
 def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,6 +61,13 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup.totals()
 
 
+def op7_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merge dropout of 0.1, the customary rate for training, with a fixed seed."""
+    import public_tokenizers
+
+    return piece_codec.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), seed=1, rate=0.1)
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan(table(spark, sf_dir, "documents"), Workspace(spark, "op8"))
     kinds = [r.kind for r in secret_scan.BASE]
@@ -86,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_nearest_neighbours": op4_nearest_neighbours,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_token_counts": op6_token_counts,
+    "op7_piece_codec": op7_piece_codec,
     "op8_secret_scan": op8_secret_scan,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_packing": op10_packing,

@@ -206,10 +206,9 @@ def covered_mask(words: Words, spans: np.ndarray, bounds: np.ndarray, width: int
     return np.cumsum(step[:-1]) > 0
 
 
-def strip(docs: DataFrame, covered: DataFrame, width: int = WIDTH, digest: bool = False) -> DataFrame:
-    """Documents without their covered words: doc_id, n_words, n_removed, and kept_text (null if nothing went), or kept_sha256 if `digest`."""
+def strip(docs: DataFrame, covered: DataFrame, width: int = WIDTH) -> DataFrame:
+    """What is left of each document: doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by one space)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(covered, "doc_id", "left")
-    last = "kept_sha256" if digest else "kept_text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -220,13 +219,45 @@ def strip(docs: DataFrame, covered: DataFrame, width: int = WIDTH, digest: bool
                 removed = np.bincount(words.doc[gone], minlength=b - a)
                 text, cut = words.joined(~gone)
                 text = text.tobytes()
-                if digest:
-                    kept = [hashlib.sha256(text[cut[i] : cut[i + 1]]).hexdigest() for i in range(b - a)]
-                else:
-                    kept = [text[cut[i] : cut[i + 1]].decode() if removed[i] else None for i in range(b - a)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(words.counts), pa.array(removed), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", last])
+                kept = [hashlib.sha256(text[cut[i] : cut[i + 1]]).hexdigest() for i in range(b - a)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(words.counts), pa.array(removed), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    return rows.select("doc_id", "text", "spans").mapInArrow(run, f"doc_id long, n_words long, n_removed long, {last} string")
+    return rows.select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+
+
+def rewrite(docs: DataFrame, covered: DataFrame, width: int = WIDTH) -> DataFrame:
+    """The documents with all their columns; covered words are cut from `text` (the rest joined by one space), others stay untouched.
+
+    Documents that lose all their words go.
+    """
+    columns = docs.columns
+    own = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)])
+    at, key = columns.index("text"), f"c{columns.index('doc_id')}"
+    rows = own.join(covered.select(F.col("doc_id").alias("id"), "spans"), F.col(key).cast("long") == F.col("id"), "left").drop("id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans, bounds = ragged(batch.column(len(columns)))
+            old, texts, keep = batch.column(at), [], []
+            for a, b, data, offsets in text_slices(old):
+                if bounds[a] == bounds[b]:
+                    texts.append(old.slice(a, b - a))
+                    keep.append(np.ones(b - a, bool))
+                    continue
+                words = Words(data, offsets)
+                gone = covered_mask(words, spans[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a], width)
+                removed = np.bincount(words.doc[gone], minlength=b - a)
+                text, cut = words.joined(~gone)
+                text = text.tobytes()
+                texts.append(pa.array([text[cut[i] : cut[i + 1]].decode() if removed[i] else old[a + i].as_py() for i in range(b - a)], old.type))
+                keep.append((removed == 0) | (removed < words.counts))
+            if texts:
+                arrays = [batch.column(i) for i in range(len(columns))]
+                arrays[at] = pa.concat_arrays(texts)
+                yield pa.RecordBatch.from_arrays(arrays, [f"c{i}" for i in range(len(columns))]).filter(pa.array(np.concatenate(keep)))
+
+    out = rows.mapInArrow(run, own.schema)
+    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(columns)])
 
 
 def deduplicate(docs: DataFrame, space: Workspace, batches: int = 2, width: int = WIDTH) -> DataFrame:
