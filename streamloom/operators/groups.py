@@ -94,7 +94,7 @@ def assign(members: DataFrame, topics: DataFrame, policy: str, previous: DataFra
     if previous is not None:
         subs = subs.union(previous.select("group_id", "member_id", "topic", F.col("partition").cast("int"), F.lit(1)))
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         now, old = pdf[pdf.kind == 0], pdf[pdf.kind == 1]
         subscribed: dict[str, set[str]] = {}
         for m, t in zip(now.member_id, now.topic):
