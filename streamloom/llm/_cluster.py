@@ -54,10 +54,10 @@ def connected_components(edges: DataFrame, space: Workspace, name: str = "cc", r
     seen = None
     for i in range(1, rounds + 1):
         both = now.union(now.select("b", "a"))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        low = space.write(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), f"{name}-low")
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        down = large.where("a <> b").distinct()
-        least = down.groupBy("a").agg(F.min("b").alias("m"))
+        down = space.write(large.where("a <> b").distinct(), f"{name}-down")
+        least = space.write(down.groupBy("a").agg(F.min("b").alias("m")), f"{name}-least")
         small = down.join(least, "a").select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("m").alias("y")), F.struct(F.col("b").alias("x"), F.col("m").alias("y")))).alias("e"))
         now = space.write(small.select(F.col("e.x").alias("a"), F.col("e.y").alias("b")).where("a <> b").distinct(), f"{name}-{i}")
         state = now.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 31)))).first()

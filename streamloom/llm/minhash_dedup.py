@@ -12,9 +12,9 @@ few coordinates still empty are filled by throwing further.  Cost: the shingles
 
 Join: `BANDS` bands of `ROWS` coordinates; documents that share a band are candidates (a pair at 0.8 is missed with
 probability 7e-5).  Exact copies are folded into one representative first.  In each band's bucket all are verified
-against its smallest member; components follow; then only pairs of one bucket that lie in different components remain
-and each of those is verified too.  So every candidate pair is either verified or already joined: none is given up,
-and buckets of copies cost as many rows as they have members.  Verification compares whole shingle multisets.
+against its smallest member; components follow; only pairs of one bucket that lie in different components remain, and
+those are compared block against block inside tasks, without becoming rows.  So every candidate pair is either verified
+or already joined: none is given up.  Verification compares whole shingle multisets.
 
 Cases: null texts and texts without words are in no group and are kept; 1 to 4 words make one shingle; the smallest
 doc_id of a group is kept; an empty table gives an empty result; extra columns are not touched.
@@ -38,6 +38,8 @@ SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 24, 5
 COORDINATES = BANDS * ROWS
+#: Shingles of the documents of one block, on average, when a bucket's components are compared.
+BLOCK_ITEMS = 500_000
 WORD = Polynomial(601)
 FACTORS = _random_words(701, 16) | U64(1)
 BAND_FACTORS = _random_words(733, 16) | U64(1)
@@ -188,36 +190,89 @@ def verified(pairs: DataFrame, lists: DataFrame, threshold: float) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def across(rows: DataFrame, distinct: DataFrame, lists: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) between different components c of one bucket: rows are (band, key, doc_id, c, blocks).
+
+    A bucket is cut into blocks of about BLOCK_ITEMS shingles; each pair of blocks is one task's work, which counts the common shingles
+    of one document with all of the other block at once and sends a link only where it joins two components.  A
+    pair that shares several bands is looked at in the first of them.
+    """
+    block = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
+    placed = rows.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = placed.select("band", "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", "c")
+    full = placed.join(distinct.select("doc_id", "bands"), "doc_id").join(lists, "doc_id")
+
+    def run(table: pa.Table) -> pa.Table:
+        band = table.column("band")[0].as_py()
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        block, ids, c = (np.asarray(table.column(n)) for n in ("block", "doc_id", "c"))
+        bands = np.asarray(table.column("bands").combine_chunks().flatten()).reshape(len(ids), -1)
+        items, cut = ragged(table.column("items"))
+        size = np.diff(cut)
+        right = np.flatnonzero(block == j)
+        values, dense = np.unique(items, return_inverse=True)
+        pick = np.repeat(cut[right], size[right]) + np.arange(size[right].sum()) - np.repeat(np.cumsum(size[right]) - size[right], size[right])
+        theirs, owner = dense[pick], np.repeat(np.arange(len(right)), size[right])
+        flag = np.zeros(len(values), bool)
+        label = {int(x): int(x) for x in np.unique(c)}
+
+        def root(x: int) -> int:
+            while label[x] != x:
+                label[x] = label[label[x]]
+                x = label[x]
+            return x
+
+        a, b = [], []
+        for x in np.flatnonzero(block == i).tolist():
+            if (c[right] == c[x]).all():
+                continue
+            own = dense[cut[x] : cut[x + 1]]
+            flag[own] = True
+            same = np.bincount(owner, flag[theirs], len(right))
+            flag[own] = False
+            near = (same >= threshold * (size[x] + size[right] - same)) & (c[right] != c[x])
+            for k in np.flatnonzero(near).tolist():
+                y = right[k]
+                if int((bands[x] == bands[y]).argmax()) != band or root(int(c[x])) == root(int(c[y])):
+                    continue
+                label[root(int(c[x]))] = root(int(c[y]))
+                a.append(ids[x])
+                b.append(ids[y])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return full.groupBy("band", "key", "i", "j").applyInArrow(run, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, space: Workspace, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, copy_of (smallest doc_id with the same text), component_id (smallest doc_id of its group), kept; one row a doc_id."""
     ids = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     all_rows = space.write(signatures(ids), "signatures")
-    classes = all_rows.groupBy("sha").agg(F.min("doc_id").alias("copy_of"))
-    member = space.write(all_rows.select("doc_id", "sha").join(classes, "sha").select("doc_id", "copy_of"), "member")
-    distinct = all_rows.groupBy("sha").agg(F.min(F.struct("doc_id", "weight", "bands")).alias("r")).select("r.*")
-    banded = distinct.select("doc_id", "weight", F.explode(F.array_distinct("bands")).alias("key"))
-    buckets = banded.groupBy("key").agg(F.min("doc_id").alias("center"), F.count("*").alias("n")).where("n > 1").select("key", "center")
-    hits = space.write(banded.join(buckets, "key"), "hits")
+    # Tables of keys that occur more than once are written: joined to them, a hot key's rows can be split over tasks.
+    copies = space.write(all_rows.groupBy("sha").agg(F.min("doc_id").alias("copy_of"), F.count("*").alias("n")).where("n > 1").select("sha", "copy_of"), "copies")
+    member = all_rows.join(copies, "sha", "left").select("doc_id", F.coalesce("copy_of", "doc_id").alias("copy_of"), "weight", "bands")
+    member = space.write(member, "member")
+    distinct = member.where("doc_id = copy_of").groupBy("doc_id").agg(F.min(F.struct("weight", "bands")).alias("r")).select("doc_id", "r.*")
+    banded = distinct.select("doc_id", "weight", F.posexplode("bands").alias("band", "key"))
+    buckets = space.write(banded.groupBy("band", "key").agg(F.min("doc_id").alias("center"), F.count("*").alias("n")).where("n > 1").select("band", "key", "center"), "buckets")
+    hits = space.write(banded.join(buckets, ["band", "key"]), "hits")
 
     involved = space.write(hits.select("doc_id").distinct(), "involved")
     lists = space.write(shingle_lists(ids.join(broadcast_if_small(involved), "doc_id", "left_semi")), "shingles")
-    weights = hits.groupBy("doc_id").agg(F.min("weight").alias("w"))
-    close = F.least("wa", "w") >= threshold * F.greatest("wa", "w")
-    stars = hits.where("doc_id <> center").select(F.col("center").alias("a"), F.col("doc_id").alias("b"), F.col("weight").alias("w")).distinct()
-    stars = stars.join(weights.select(F.col("doc_id").alias("a"), F.col("w").alias("wa")), "a").where(close).select("a", "b")
+    centers = hits.where("doc_id = center").select("band", "key", F.col("weight").alias("wa"))
+    stars = hits.where("doc_id <> center").join(centers, ["band", "key"]).where(F.least("wa", "weight") >= threshold * F.greatest("wa", "weight"))
+    stars = stars.select(F.col("center").alias("a"), F.col("doc_id").alias("b")).distinct()
     links = space.write(verified(stars, lists, threshold), "links-1")
     joined = connected_components(links, space, "cc-1")
 
-    part = hits.join(joined.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", "weight", F.coalesce("component", "doc_id").alias("c"))
+    part = hits.join(joined.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("band", "key", "doc_id", "weight", F.coalesce("component", "doc_id").alias("c"))
     part = space.write(part, "parts")
-    open_keys = part.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-    rest = part.join(open_keys, "key", "left_semi")
-    left = rest.select("key", F.col("doc_id").alias("a"), F.col("weight").alias("wa"), F.col("c").alias("ca"))
-    pairs = rest.join(left, "key").where((F.col("ca") < F.col("c")) & (F.least("wa", "weight") >= threshold * F.greatest("wa", "weight")))
-    pairs = pairs.select(F.least("a", "doc_id").alias("a"), F.greatest("a", "doc_id").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    more = space.write(verified(pairs, lists, threshold), "links-2")
-    groups = connected_components(links.union(more), space, "cc-2")
-
-    found = member.join(groups.withColumnRenamed("node", "copy_of"), "copy_of", "left").groupBy("doc_id").agg(F.min("copy_of").alias("copy_of"), F.min(F.coalesce("component", "copy_of")).alias("component_id"))
+    loose = part.groupBy("band", "key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.ceil(F.sum("weight") / BLOCK_ITEMS).cast("int").alias("blocks")).where("lo < hi").select("band", "key", "blocks")
+    loose = space.write(loose, "loose")
+    links = links.union(space.write(across(part.join(loose, ["band", "key"]), distinct, lists, threshold), "links-2"))
+    groups = connected_components(links, space, "cc-2")
+
+    groups = space.write(groups, "groups")
+    found = member.select("doc_id", "copy_of").join(groups.withColumnRenamed("node", "copy_of"), "copy_of", "left")
+    found = found.groupBy("doc_id").agg(F.min("copy_of").alias("copy_of"), F.min(F.coalesce("component", "copy_of")).alias("component_id"))
     out = ids.select("doc_id").distinct().join(found, "doc_id", "left")
     return out.select("doc_id", F.coalesce("copy_of", "doc_id").alias("copy_of"), F.coalesce("component_id", "doc_id").alias("component_id"), (F.coalesce("component_id", "doc_id") == F.col("doc_id")).alias("kept"))
