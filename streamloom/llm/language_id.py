@@ -28,7 +28,7 @@ DOCS_PER_LANGUAGE = 96
 CHARS_PER_DOC = 256
 CHUNK = 192
 SLICE_CHARS = 1_500_000
-ENDED = np.int32(1 << 30)
+BEGUN = np.int32(1 << 30)
 
 
 def training_sample(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", docs_per_language: int = DOCS_PER_LANGUAGE, chars: int = CHARS_PER_DOC) -> dict[str, list[str]]:
@@ -75,7 +75,7 @@ class Symbols:
 
 
 def automaton(symbols: np.ndarray, n_symbols: int) -> np.ndarray:
-    """Suffix automaton as a table: entry (state, symbol) is the next state, or the state after a new phrase was begun, marked ENDED."""
+    """Suffix automaton as a table: entry (state, symbol) is the next state; marked BEGUN where the symbol begins a phrase (all do in state 0)."""
     nxt: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
     for c in symbols.tolist():
@@ -105,8 +105,9 @@ def automaton(symbols: np.ndarray, n_symbols: int) -> np.ndarray:
     for s, row in enumerate(nxt):
         for c, t in row.items():
             table[s, c] = t
-    restart = np.where(table[0] < 0, 0, table[0]) | ENDED
-    return np.where(table < 0, restart[None, :], table).astype(np.int32)
+    begun = np.where(table[0] < 0, 0, table[0]) | BEGUN
+    table[0] = -1
+    return np.where(table < 0, begun[None, :], table).astype(np.int32)
 
 
 class CrossParser:
@@ -138,13 +139,13 @@ class CrossParser:
         columns = [sym[start[: running[i]] + i].astype(np.int32) for i in range(int(size[0]))]
         for k, table in enumerate(self.tables):
             state = np.zeros(len(doc), np.int32)
-            ended = np.zeros(len(doc), np.int32)
+            begun = np.zeros(len(doc), np.int32)
             for c in columns:
                 n = len(c)
                 t = table[state[:n] * np.int32(self.symbols.n) + c]
-                ended[:n] += t >> 30
-                state[:n] = t & (ENDED - 1)
-            out[:, k] = np.bincount(doc, ended + 1, len(lengths))
+                begun[:n] += t >> 30
+                state[:n] = t & (BEGUN - 1)
+            out[:, k] = np.bincount(doc, begun, len(lengths))
         return out
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
