@@ -21,6 +21,7 @@ from .operators import limits as LI
 from .operators import log as L
 from .operators import metrics as M
 from .operators import replication as R
+from .operators import state as ST
 from .operators.windows import Global, Session, Sliding, Tumbling
 from .plans.topology import StreamBuilder
 from .session import SETTINGS, ship_package
@@ -809,3 +810,115 @@ def stream_join(spark, d):
 def stream_session(spark, d):
     s = StreamBuilder().source(data=io.events_stream(spark, d), key="user_id").watermark().session_window(MINUTES_30).count()
     return runtime.drain(s.df, "session").select("user_id", us("window_start").alias("start_us"), F.col("count").alias("n"))
+
+
+# --- state, collectors, catalogues ---
+
+
+@query("state_put", "SELECT user_id AS key, arg_max(event_type, (ts, event_id)) AS value FROM events GROUP BY user_id HAVING arg_max(event_type, (ts, event_id)) <> 'error' UNION ALL SELECT -1, 'kept'")
+def state_put(spark, d):
+    seq = us("ts") * 2 + F.pmod("event_id", F.lit(2))
+    changes = io.events(spark, d).select(F.col("user_id").alias("key"), F.when(F.col("event_type") != "error", F.col("event_type")).alias("value"), seq.alias("seq"))
+    old = spark.createDataFrame([(-1, "kept"), (0, "old")], "key long, value string")
+    return ST.put(old, changes)
+
+
+@query("state_key_range", "SELECT user_id AS key, count(*) AS n FROM events WHERE user_id BETWEEN 3 AND 9 GROUP BY user_id")
+def state_key_range(spark, d):
+    return ST.key_range(io.events(spark, d).groupBy(F.col("user_id").alias("key")).agg(F.count("*").alias("n")), 3, 9)
+
+
+DAILY = "(SELECT user_id, time_bucket(INTERVAL '1 day', ts) AS w, count(*) AS n FROM events GROUP BY ALL)"
+
+
+def daily(spark, d) -> DataFrame:
+    return A.windowed(io.events(spark, d), Tumbling(DAY), ["user_id"], "ts", n=F.count("*"))
+
+
+@query("state_windows_between", f"SELECT user_id, epoch_us(w) AS start_us, n FROM {DAILY} WHERE w >= TIMESTAMP '2024-01-05' AND w + INTERVAL '1 day' <= TIMESTAMP '2024-01-09'")
+def state_windows_between(spark, d):
+    return ST.windows_between(daily(spark, d), F.lit("2024-01-05").cast("timestamp"), F.lit("2024-01-09").cast("timestamp")).select("user_id", us("window_start").alias("start_us"), "n")
+
+
+@query("state_delete_expired", f"SELECT user_id, epoch_us(w) AS start_us, n FROM {DAILY} WHERE w + INTERVAL '1 day' + INTERVAL '1 hour' >= TIMESTAMP '2024-01-20'")
+def state_delete_expired(spark, d):
+    return ST.delete_expired(daily(spark, d), F.lit("2024-01-20").cast("timestamp"), HOUR).select("user_id", us("window_start").alias("start_us"), "n")
+
+
+@query("state_merge_sessions", """WITH e AS (SELECT user_id, event_id, ts AS s, ts + INTERVAL '1 hour' * (event_id % 3) AS f, value FROM events),
+m AS (SELECT *, max(f) OVER (PARTITION BY user_id ORDER BY s, f ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM e),
+i AS (SELECT *, sum(CASE WHEN s <= before + INTERVAL '30 minutes' THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY s, f ROWS UNBOUNDED PRECEDING) AS island FROM m)
+SELECT user_id, epoch_us(min(s)) AS start_us, epoch_us(max(f)) AS end_us, arg_max(value, event_id) AS value FROM i GROUP BY user_id, island""")
+def state_merge_sessions(spark, d):
+    e = io.events(spark, d).select("user_id", F.col("event_id").alias("updated"), F.col("ts").alias("window_start"), (F.col("ts") + F.expr("interval 1 hour") * F.pmod("event_id", F.lit(3))).alias("window_end"), "value")
+    out = ST.merge_sessions(e, ["user_id"], MINUTES_30)
+    return out.select("user_id", us("window_start").alias("start_us"), us("window_end").alias("end_us"), "value")
+
+
+@query("state_keys", "SELECT event_id, event_type || ':' || strftime(time_bucket(INTERVAL '5 minutes', ts), '%Y-%m-%dT%H:%M:%SZ') AS key FROM events")
+def state_keys(spark, d):
+    return io.events(spark, d).select("event_id", S.state_key(F.col("event_type"), S.truncate_time(F.col("ts"), MINUTES_5)).alias("key"))
+
+
+@query("collector_gauges", "SELECT user_id, 'kind=' || event_type AS labels, count(*)::DOUBLE AS value FROM events GROUP BY user_id, event_type")
+def collector_gauges(spark, d):
+    n = io.events(spark, d).groupBy("user_id", "event_type").agg(F.count("*").cast("double").alias("n"))
+    maps = n.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("event_type", "n"))).alias("by_kind"))
+    return M.unfold_labels(maps, "by_kind", "kind").select("user_id", F.array_join(S.sorted_pairs(F.col("labels")), ",").alias("labels"), "value")
+
+
+@query("metric_registry", "SELECT event_type AS metric, CASE WHEN event_type IN ('click', 'view') THEN 'counter' ELSE 'gauge' END AS kind, event_type IN ('click', 'view') AS clash FROM (SELECT DISTINCT event_type FROM events)")
+def metric_registry(spark, d):
+    known = spark.createDataFrame([("click", "counter"), ("view", "counter"), ("error", "gauge")], "metric string, kind string")
+    wanted = io.events(spark, d).select(F.col("event_type").alias("metric"), F.lit("gauge").alias("kind")).distinct()
+    return M.register(known, wanted)
+
+
+@query("extract_values", "SELECT event_id, CASE WHEN event_type = 'view' THEN user_id::DOUBLE WHEN event_type = 'click' THEN value ELSE value * 2 END AS value FROM events")
+def extract_values(spark, d):
+    kind = F.when(F.col("event_type") == "view", "histogram").when(F.col("event_type") == "click", "timer").otherwise("gauge")
+    count = F.when(F.col("event_type") == "view", F.col("user_id"))
+    return io.events(spark, d).select("event_id", S.extract_value(kind, F.col("value") * 2, count, F.col("value")).alias("value"))
+
+
+@query("metric_types", "SELECT event_id, CASE event_type WHEN 'view' THEN 'counter' WHEN 'click' THEN 'gauge' WHEN 'error' THEN 'histogram' WHEN 'signup' THEN 'summary' ELSE 'untyped' END AS kind FROM events")
+def metric_types(spark, d):
+    e = F.col("event_type")
+    kind = F.when(e == "view", "counter").when(e == "click", "gauge").when(e == "error", "histogram").when(e == "signup", "timer").otherwise("other")
+    return io.events(spark, d).select("event_id", S.prometheus_type(kind).alias("kind"))
+
+
+@query("alert_ids", "SELECT event_id, 'High:kind=' || event_type || ',user=' || user_id || ',' AS alert_id, event_type || ',kind=' || event_type || ',user=' || user_id AS metric_key FROM events")
+def alert_ids(spark, d):
+    return labelled(spark, d).select("event_id", S.alert_id(F.lit("High"), F.col("labels")).alias("alert_id"), S.metric_key(F.col("event_type"), F.col("labels")).alias("metric_key"))
+
+
+@query("export_json", """SELECT event_id, '{"event_id":' || event_id || ',"event_type":"' || event_type || '"}' AS json FROM events""")
+def export_json(spark, d):
+    e = io.events(spark, d).select("event_id", "event_type")
+    return X.as_json(e).select(F.get_json_object("json", "$.event_id").cast("long").alias("event_id"), "json")
+
+
+@query("webhook_payload", f"SELECT severity, count(*) AS n FROM {ALERT_SQL} GROUP BY severity")
+def webhook_payload(spark, d):
+    return AL.payload(alert_rows(spark, d), ["severity"]).select("severity", F.get_json_object("body", "$.n").cast("long").alias("n"))
+
+
+@query("http_health", "SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 'unhealthy' WHEN user_id % 2 = 0 THEN 'healthy' ELSE 'degraded' END AS status FROM events")
+def http_health(spark, d):
+    code = F.when(F.col("event_id") % 7 != 0, 200 + F.col("user_id") % 2 * 300)
+    return io.events(spark, d).select("event_id", M.http_health(code).alias("status"))
+
+
+@query("rebalance", "SELECT 'g' || s_nationkey AS group_id, 11::BIGINT AS partitions FROM supplier WHERE s_suppkey % 7 * 20 >= 60 GROUP BY s_nationkey")
+def rebalance(spark, d):
+    """After members that fell silent left, the others own every partition."""
+    m = members(spark, d)
+    out = G.rebalance(G.range_assignment(m, topics(spark)), m, topics(spark), F.lit("2024-01-31").cast("timestamp"))
+    return out.groupBy("group_id").agg(F.count_distinct("topic", "partition").alias("partitions"))
+
+
+@query("stream_branch_merge", "SELECT event_id FROM events WHERE value > 20 UNION ALL SELECT event_id FROM events WHERE event_type = 'purchase'")
+def stream_branch_merge(spark, d):
+    high, bought = StreamBuilder().source(data=io.events_stream(spark, d)).branch(F.col("value") > 20, F.col("event_type") == "purchase")
+    return runtime.drain(high.map("event_id").merge(bought.map("event_id")).df, "branch")
