@@ -36,7 +36,7 @@ from ._columnar import U64, Polynomial, _random_words, mix, text_slices
 LENGTH = 2048
 END = 1
 HASHED, AXES, BITS = 64, 3, 10
-SLICE = 3_000_000
+SLICE = 1_000_000
 PIECE = Polynomial(809)
 LETTER, NUMBER, SPACE, OTHER, FOREIGN = range(5)
 #: Code points below this can be cut here.
@@ -56,14 +56,12 @@ class WordTokenizer:
     def __init__(self, path: str):
         import unicodedata
 
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.path, self._library = path, None
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
         vocab, suffix = model["vocab"], model["end_of_word_suffix"]
+        self.size = max([*vocab.values(), *(t["id"] for t in spec.get("added_tokens", []))]) + 1
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         left, right, merged = (np.array([vocab[x(m)] for m in merges]) for x in (lambda m: m[0], lambda m: m[1], lambda m: m[0] + m[1]))
         self.pairs = PairTable(left, right, merged, np.arange(len(merges)))
@@ -71,7 +69,7 @@ class WordTokenizer:
         self.inner = np.array([vocab[names[b]] for b in range(256)], np.int32)
         self.last = np.array([vocab[names[b] + suffix] for b in range(256)], np.int32)
         kind = np.full(LATIN, OTHER, np.uint8)
-        low = np.arange(LATIN)
+        low = np.arange(LATIN, dtype=np.int32)
         for c in range(LATIN):
             category = unicodedata.category(chr(c))
             kind[c] = LETTER if category[0] == "L" else NUMBER if category[0] == "N" else OTHER
@@ -84,12 +82,22 @@ class WordTokenizer:
         kind[[0x1C, 0x1D, 0x1E, 0x1F, 0x85, 0xA0]] = FOREIGN  # white space to some, not to others: the library decides
         self.kind, self.low = kind, low
 
+    @property
+    def library(self):
+        """The library's own tokenizer, loaded when the first document needs it."""
+        if self._library is None:
+            from tokenizers import Tokenizer
+
+            self._library = Tokenizer.from_file(self.path)
+            self._library.encode_special_tokens = True
+        return self._library
+
     def pieces(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Lower-cased bytes, starts and ends of pieces, their documents, and which documents need the library."""
         docs = len(offsets) - 1
         lead = (data & 0xC0) != 0x80
         at = np.flatnonzero(lead)
-        b = data[at].astype(np.int64)
+        b = data[at].astype(np.int32)
         two = (b >= 0xC0) & (b < 0xE0)
         code = b.copy()
         if two.any():
@@ -253,7 +261,7 @@ def tokenised(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(path)
-        size = t.library.get_vocab_size()
+        size = t.size
         keys = CurveKeys(size)
         kind = np.uint16 if size <= 65536 else np.uint32
         for batch in batches:
@@ -299,7 +307,7 @@ def pack(docs: DataFrame, path: str, space: Workspace, length: int = LENGTH, wit
         base[p] = total
         total += totals[p]
     full, tail = total // length, tail_cuts(total, length)
-    kind = np.uint16 if tokenizer(path).library.get_vocab_size() <= 65536 else np.uint32
+    kind = np.uint16 if tokenizer(path).size <= 65536 else np.uint32
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, at = None, 0
