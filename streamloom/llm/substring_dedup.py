@@ -167,19 +167,23 @@ class FingerprintIndex:
         rows = space.write(fingerprints(batch, self.width, self.gram), f"rows-{b}")
         old = self.history()
         light = rows.select("fp", "doc_id") if old is None else rows.select("fp", "doc_id").union(old.select("fp", "doc_id"))
-        shared = light.groupBy("fp").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("fp")
+        # Tables of keys are written before they are joined: adaptive execution can then split a hot key's rows over tasks.
+        shared = space.write(light.groupBy("fp").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("fp"), f"shared-{b}")
         new = rows.withColumn("fresh", F.lit(True))
         known = new if old is None else new.unionByName(old.withColumn("fresh", F.lit(False)))
         hits = space.write(known.join(shared, "fp", "left_semi"), f"hits-{b}")
-        first = hits.groupBy("fp", "rh").agg(F.min("doc_id").alias("first"))
-        mixed = first.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp", F.lit(True).alias("mixed"))
-        judged = hits.join(first, ["fp", "rh"])
+        repeated = hits.groupBy("fp", "rh").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("fp", "rh", "first")
+        repeated = space.write(repeated, f"repeated-{b}")
+        mixed = space.write(hits.groupBy("fp").agg(F.min("rh").alias("lo"), F.max("rh").alias("hi")).where("lo < hi").select("fp"), f"mixed-{b}")
+        judged = hits.join(repeated, ["fp", "rh"], "left").withColumn("first", F.coalesce("first", "doc_id"))
         whole = judged.where("fresh and first < doc_id").select("doc_id", packed("p1", "p2").alias("span"))
         unsure = judged.where("first = doc_id").join(mixed, "fp", "left_semi").select("doc_id", packed("p1", "p2").alias("span"), "fresh")
         spans = unsure.groupBy("doc_id").agg(F.sort_array(F.collect_set("span")).alias("spans"), F.max("fresh").alias("fresh"))
+        spans = space.write(spans, f"spans-{b}")
         texts = corpus.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(spans, "doc_id")
         windows = space.write(window_hashes(texts, self.width), f"windows-{b}")
         lowest = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h1", "h2", "lo")
+        lowest = space.write(lowest, f"lowest-{b}")
         partly = windows.join(lowest, ["h1", "h2"]).where("doc_id > lo").select("doc_id", packed("pos", "pos").alias("span"))
         if old is not None:  # windows of earlier batches were judged with them
             partly = partly.join(spans.where("fresh").select("doc_id"), "doc_id", "left_semi")
@@ -191,7 +195,7 @@ class FingerprintIndex:
             self.names.append(name)
             if len(self.runs) > self.fan_in:
                 self.compact()
-        for name in ("rows", "hits", "windows"):
+        for name in ("rows", "shared", "hits", "repeated", "mixed", "spans", "windows", "lowest"):
             space.drop(f"{name}-{b}")
         return result
 
