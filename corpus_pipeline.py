@@ -11,9 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from streamloom.llm import language_id, minhash_dedup, packing, secret_scan, substring_dedup
-from streamloom.llm._cluster import Workspace, broadcast_if_small
+from streamloom.llm._cluster import Workspace, broadcast_if_small, prepare
 from streamloom.llm.queries import held_out
-from streamloom.session import ship_package
 
 
 def _recounted(docs: DataFrame) -> DataFrame:
@@ -24,7 +23,7 @@ def _recounted(docs: DataFrame) -> DataFrame:
 
 def detect_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no language is found (`und`: no text, no letter) go."""
-    ship_package(spark)
+    prepare(spark)
     sample = language_id.training_sample(docs.where(~held_out()))
     names = ("_lang_pred_of_stage", "_lang_score_of_stage")
     return language_id.identify(docs, sample, keep=docs.columns, names=names).where(F.col(names[0]) != "und").drop(*names)
@@ -32,20 +31,20 @@ def detect_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The smallest doc_id of each group stays."""
-    space = Workspace(ship_package(spark), "stage-near-dedup")
+    space = Workspace(spark, "stage-near-dedup")
     gone = space.write(minhash_dedup.near_duplicates(docs, space).where("not kept").select(F.col("doc_id").alias("_gone")), "gone")
     return docs.join(broadcast_if_small(gone), docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 50 words and more that an earlier document has are cut."""
-    space = Workspace(ship_package(spark), "stage-substrings")
+    space = Workspace(spark, "stage-substrings")
     return _recounted(substring_dedup.rewrite(docs, substring_dedup.deduplicate(docs, space)))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every span that a rule finds is replaced by [SECRET]; no document goes."""
-    space = Workspace(ship_package(spark), "stage-secrets")
+    space = Workspace(spark, "stage-secrets")
     found = space.write(secret_scan.scan(docs, space).where(F.size("spans") > 0).select(F.col("doc_id").alias("_id"), F.col("spans").alias("_spans")), "spans")
     rows = docs.join(broadcast_if_small(found), docs["doc_id"] == F.col("_id"), "left")
     text = F.when(F.col("_spans").isNotNull(), secret_scan.redact(F.col("text"), F.col("_spans"))).otherwise(F.col("text"))
@@ -55,7 +54,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    space = Workspace(ship_package(spark), "stage-packing")
+    space = Workspace(spark, "stage-packing")
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), space, with_ids=True)
 
 

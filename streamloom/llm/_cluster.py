@@ -7,10 +7,21 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship_package
+
+#: Rows and bytes of an Arrow batch: texts and lists are long, and a worker holds a batch or two beside its work.
+BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
 #: Rows up to which a two-column side may be broadcast: some tens of MB of hash relation at most.
 BROADCAST_ROWS = 100_000
 
 
+def prepare(spark: SparkSession) -> SparkSession:
+    """Executors get the package; batches to and from Python are bounded."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return ship_package(spark)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share; only where the session names none (tests) one under /tmp is set."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
@@ -24,7 +35,7 @@ class Workspace:
     """Named Parquet tables of one query below the shared folder: written once, read again, kept until dropped."""
 
     def __init__(self, spark: SparkSession, label: str):
-        self.spark = spark
+        self.spark = prepare(spark)
         self.path = f"{shared_folder(spark)}/streamloom/{label}-{uuid.uuid4().hex}"
 
     def write(self, df: DataFrame, name: str) -> DataFrame:

@@ -7,13 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship_package
 from . import embedding_dedup, language_id, minhash_dedup, nearest_neighbours, packing, piece_codec, quality_classifier, secret_scan, substring_dedup, token_counts
-from ._cluster import Workspace
+from ._cluster import Workspace, prepare
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return ship_package(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def held_out(key: str = "doc_id") -> Column:
