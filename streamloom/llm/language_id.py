@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 DOCS_PER_LANGUAGE = 96
 CHARS_PER_DOC = 256
+PARTS = 32
 CHUNK = 192
 SLICE_CHARS = 1_500_000
 BEGUN = np.int32(1 << 30)
@@ -37,7 +38,9 @@ def training_sample(docs: DataFrame, text: str = "text", lang: str = "lang", key
     letters = F.col(text).rlike(r"\p{L}")
     extract = F.substring(F.col(text), (F.pmod(h, F.greatest(F.length(text) - chars, F.lit(1))) + 1).cast("int"), F.lit(chars))
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & letters).select(F.col(lang).cast("string").alias("l"), h.alias("h"), extract.alias("x"))
-    ranked = rows.withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy("h", "x"))).where(F.col("r") <= docs_per_language)
+    # First within a part of each language, so that the last ranking sees PARTS * docs_per_language rows a language at most.
+    first = rows.withColumn("r", F.row_number().over(Window.partitionBy("l", F.pmod("h", F.lit(PARTS))).orderBy("h", "x"))).where(F.col("r") <= docs_per_language)
+    ranked = first.withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy("h", "x"))).where(F.col("r") <= docs_per_language)
     out: dict[str, list[str]] = {}
     for row in ranked.select("l", "r", "x").collect():  # bounded by the two limits times the number of languages
         out.setdefault(row.l, []).append((row.r, row.x))

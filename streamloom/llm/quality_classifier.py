@@ -23,11 +23,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._columnar import U64, _random_words, text_slices
+from ._columnar import _random_words, text_slices, U64
 
 DIMENSIONS = 1 << 16
 SIZES = (2, 3, 4)
 ROWS_PER_CLASS = 1500
+HASHES = 1 << 31
 GRAM = _random_words(907, 8) | U64(1)
 
 
@@ -150,8 +151,13 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column, label: str = "quali
     """Learns from labels of rows that `allowed` (on doc_id) admits."""
     known = labels.where(allowed & F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y"))
     totals = {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    rank = F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = known.withColumn("r", rank).where(F.col("r") <= rows_per_class).select("doc_id", "y", "r")
+    known = known.withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(HASHES)))
+    # About twice the wanted rows of each class have a hash below its share: all that are ranked, whatever the table's size.
+    low = F.lit(False)
+    for y, n in totals.items():
+        low = low | ((F.col("y") == y) & (F.col("h") < min(HASHES, -(-HASHES * (2 * rows_per_class + 200) // n))))
+    rank = F.row_number().over(Window.partitionBy("y").orderBy("h", "doc_id"))
+    chosen = known.where(low).withColumn("r", rank).where(F.col("r") <= rows_per_class).select("doc_id", "y", "r")
     chosen = docs.sparkSession.createDataFrame(chosen.collect(), "doc_id long, y int, r int")  # 2 * rows_per_class rows at most
     wanted = F.broadcast(chosen.select("doc_id").distinct())
     texts = feature_lists(docs.join(wanted, "doc_id", "left_semi"))
