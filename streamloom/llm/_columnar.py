@@ -6,13 +6,15 @@ object is made per word.  Slices are bounded by bytes (one document longer than
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import contextlib
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  (pa.compute)
 
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 500_000
 U64 = np.uint64
 #: Word separators: space, tab, line feed, vertical tab, form feed, carriage return.
 WHITE = np.zeros(256, bool)
@@ -143,8 +145,16 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64) if x.dtype == U64 else x
 
 
-def list_array(values: np.ndarray, offsets: np.ndarray, kind: pa.DataType) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, kind))
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """`run` for mapInArrow, after which the worker, which later tasks use again, hands its free memory back to the system."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # only where the C library is glibc
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return wrapped
 
 
 def ragged(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._cluster import Workspace, connected_components
+from ._columnar import lean
 from ._vectors import by_length, matrix, vectors
 
 SAMPLE = 2048
@@ -139,7 +140,7 @@ def near_duplicate_vectors(df: DataFrame, space: Workspace, threshold: float = 0
                     take = pa.array(own[row])
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), d, np.int32)), pa.array(cell.astype(np.int32)), pa.array(home), batch.column(0).take(take), batch.column(1).take(take)], ["dim", "cell", "home", "id", "v"])
 
-    placed = rows.mapInArrow(place, f"dim int, cell int, home boolean, id long, v {kind}")
+    placed = rows.mapInArrow(lean(place), f"dim int, cell int, home boolean, id long, v {kind}")
     placed = space.write(placed, "placed")
     sizes = placed.groupBy("dim", "cell").agg(F.ceil(F.count_if("home") / slice_rows).cast("int").alias("hs"), F.ceil(F.count("*") / slice_rows).cast("int").alias("ms"))
     known = placed.join(sizes.where("hs > 0"), ["dim", "cell"])

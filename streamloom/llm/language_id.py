@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._columnar import lean
+
 DOCS_PER_LANGUAGE = 96
 CHARS_PER_DOC = 256
 PARTS = 32
@@ -186,4 +188,4 @@ def identify(docs: DataFrame, sample: dict[str, list[str]], key: str = "doc_id",
                 a = b
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(found, pa.string()), pa.array(np.concatenate([*scores, []]), pa.float64())], [*columns, *names])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._cluster import Workspace, broadcast_if_small, connected_components
-from ._columnar import U64, Polynomial, Words, _random_words, mix, ragged, signed, text_slices
+from ._columnar import _random_words, lean, mix, Polynomial, ragged, signed, text_slices, U64, Words
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -139,7 +139,7 @@ def signatures(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, data, offsets in text_slices(batch.column(2), 1_000_000):
+            for a, b, data, offsets in text_slices(batch.column(2)):
                 h, d, w = weighted(*shingles(Words(data, offsets)))
                 keys = band_keys(dart_signatures(h, d, w, b - a))
                 total = np.bincount(d, w, b - a).astype(np.int64)
@@ -151,7 +151,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 )
 
     rows = docs.where("text is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("sha"), "text")
-    return rows.mapInArrow(run, "doc_id long, sha binary, weight long, bands array<long>")
+    return rows.mapInArrow(lean(run), "doc_id long, sha binary, weight long, bands array<long>")
 
 
 def shingle_lists(docs: DataFrame) -> DataFrame:
@@ -168,7 +168,7 @@ def shingle_lists(docs: DataFrame) -> DataFrame:
                 cut = np.searchsorted(d, np.arange(b - a + 1))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(signed(x)[by]))], ["doc_id", "items"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, items array<long>")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, items array<long>")
 
 
 def verified(pairs: DataFrame, lists: DataFrame, threshold: float) -> DataFrame:
@@ -187,7 +187,7 @@ def verified(pairs: DataFrame, lists: DataFrame, threshold: float) -> DataFrame:
                 ok[i] = same >= threshold * (len(p) + len(q) - same)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(ok)), batch.column(1).filter(pa.array(ok))], ["a", "b"])
 
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "x", "y").mapInArrow(lean(run), "a long, b long")
 
 
 def across(rows: DataFrame, distinct: DataFrame, lists: DataFrame, threshold: float) -> DataFrame:

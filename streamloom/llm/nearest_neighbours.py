@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._cluster import Workspace
+from ._columnar import lean
 from ._vectors import by_length, matrix, vectors
 
 TABLES = 2
@@ -210,13 +211,13 @@ def search(df: DataFrame, is_query: Column, space: Workspace, k: int = 20, key:
     schema = f"t int, shard int, cell long, id long, v {kind}"
     if not stats:
         return rows.select(F.col("id").alias("query_id"), F.lit(0).alias("rank"), F.col("id").alias("vec_id"), F.lit(0.0).alias("score")).limit(0)
-    cells = space.write(rows.mapInArrow(index, schema), "index")
+    cells = space.write(rows.mapInArrow(lean(index), schema), "index")
     parts = cells.groupBy("t", "shard").agg(F.ceil(F.count("*") / (2 * SHARD)).cast("int").alias("parts"))
     parts = space.write(parts, "parts")
     dealt = cells.join(parts, ["t", "shard"]).select("t", "shard", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), "cell", "id", "v")
 
     def run(queries: DataFrame, everywhere: bool) -> DataFrame:
-        routed = queries.mapInArrow(route(everywhere), f"t int, shard int, probes array<long>, id long, v {kind}")
+        routed = queries.mapInArrow(lean(route(everywhere)), f"t int, shard int, probes array<long>, id long, v {kind}")
         known = spark.read.schema(parts.schema).parquet(f"{space.path}/parts")  # a reading of its own: both sides join it
         routed = routed.join(known, ["t", "shard"]).select("t", "shard", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "probes", "id", "v")
         return dealt.groupBy("t", "shard", "part").cogroup(routed.groupBy("t", "shard", "part")).applyInArrow(meet, "query_id long, vec_id long, score double")

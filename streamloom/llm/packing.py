@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from ._bpe import LONGEST, PairTable, merge_rows
 from ._cluster import Workspace
-from ._columnar import U64, Polynomial, _random_words, mix, text_slices
+from ._columnar import _random_words, lean, mix, Polynomial, text_slices, U64
 
 LENGTH = 2048
 END = 1
@@ -279,7 +279,7 @@ def tokenised(docs: DataFrame, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(key), pa.array(np.diff(np.concatenate([[0], end]))), pa.Array.from_buffers(pa.binary(), b - a, buffers)], ["doc_id", "key", "n_ids", "ids"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    return rows.mapInArrow(run, "doc_id long, key long, n_ids long, ids binary")
+    return rows.mapInArrow(lean(run), "doc_id long, key long, n_ids long, ids binary")
 
 
 def tail_cuts(total: int, length: int) -> list[int]:
@@ -340,4 +340,4 @@ def pack(docs: DataFrame, path: str, space: Workspace, length: int = LENGTH, wit
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids
     placed = rows.repartitionById(ranges, "part").sortWithinPartitions("part", "key", "doc_id")
-    return placed.select("part", "doc_id", "n_ids", "ids").mapInArrow(run, schema)
+    return placed.select("part", "doc_id", "n_ids", "ids").mapInArrow(lean(run), schema)

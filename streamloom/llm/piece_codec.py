@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._bpe import LONGEST, PairTable, keyed_skip, merge_one, merge_rows
-from ._columnar import U64, mix, text_slices
+from ._columnar import lean, mix, text_slices, U64
 
 SPACE = 0x2581
 #: Stands for a literal U+2581 of a text: beyond all code points, hence never in a vocabulary.
@@ -149,7 +149,7 @@ def encode(docs: DataFrame, path: str, seed: int = 0, rate: float = 0.0) -> Data
                 lists = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(ids), mask=pa.array(missing[a:b]))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists], ["doc_id", "ids"])
 
-    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids array<int>")
+    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -165,7 +165,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
                 texts = m.decode(np.asarray(part.flatten()), np.concatenate([[0], np.cumsum(size)]))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, 512), pa.array([t.decode() if ok else None for t, ok in zip(texts, part.is_valid().to_pylist())], pa.string())], ["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(lean(run), "doc_id long, text string")
 
 
 def digests(docs: DataFrame, path: str, seed: int, rate: float) -> DataFrame:
@@ -183,4 +183,4 @@ def digests(docs: DataFrame, path: str, seed: int, rate: float) -> DataFrame:
                 same = [x == y for x, y in zip(m.decode(ids, cut), texts)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.diff(cut)), pa.array(crc, pa.int64()), pa.array(same)], ["doc_id", "n_ids", "ids_crc32", "lossless"])
 
-    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_ids long, ids_crc32 long, lossless boolean")
+    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), "doc_id long, n_ids long, ids_crc32 long, lossless boolean")

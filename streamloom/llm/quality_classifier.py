@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._columnar import _random_words, text_slices, U64
+from ._columnar import _random_words, lean, text_slices, U64
 
 DIMENSIONS = 1 << 16
 SIZES = (2, 3, 4)
@@ -144,7 +144,7 @@ def feature_lists(docs: DataFrame) -> DataFrame:
             for a, b, data, offsets in text_slices(batch.column(1)):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([f.astype(np.int32) for f in Features(data, offsets)], pa.list_(pa.int32()))], ["doc_id", "features"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, features array<int>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), "doc_id long, features array<int>")
 
 
 def fit(docs: DataFrame, labels: DataFrame, allowed: Column, label: str = "quality", rows_per_class: int = ROWS_PER_CLASS) -> Model:
@@ -174,4 +174,4 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 margins = np.array([model.margin(f) for f in Features(data, offsets)])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(model.probability(margins))], ["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), "doc_id long, score double")

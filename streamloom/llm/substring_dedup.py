@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._cluster import Workspace
-from ._columnar import U64, Polynomial, Words, _random_words, mix, ragged, signed, text_slices
+from ._columnar import _random_words, lean, mix, Polynomial, ragged, signed, text_slices, U64, Words
 
 WIDTH = 50
 GRAM = 10
@@ -96,7 +96,7 @@ def fingerprints(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataF
                 fp, rh, d, p1, p2 = window_rows(Words(data, offsets), width, gram)
                 yield pa.RecordBatch.from_arrays([pa.array(signed(fp)), pa.array(signed(rh)), pa.array(ids[a:b][d]), pa.array(p1.astype(np.int32)), pa.array(p2.astype(np.int32))], ["fp", "rh", "doc_id", "p1", "p2"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null").mapInArrow(run, ROW)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null").mapInArrow(lean(run), ROW)
 
 
 def window_hashes(parts: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -123,7 +123,7 @@ def window_hashes(parts: DataFrame, width: int = WIDTH) -> DataFrame:
                     s = slice(i, i + (1 << 20))
                     yield pa.RecordBatch.from_arrays([pa.array(signed(h1[s])), pa.array(signed(h2[s])), pa.array(ids[a:b][doc[s]]), pa.array(pos[s].astype(np.int32))], ["h1", "h2", "doc_id", "pos"])
 
-    return parts.select("doc_id", "spans", "text").mapInArrow(run, "h1 long, h2 long, doc_id long, pos int")
+    return parts.select("doc_id", "spans", "text").mapInArrow(lean(run), "h1 long, h2 long, doc_id long, pos int")
 
 
 def packed(p1: str, p2: str):
@@ -226,7 +226,7 @@ def strip(docs: DataFrame, covered: DataFrame, width: int = WIDTH) -> DataFrame:
                 kept = [hashlib.sha256(text[cut[i] : cut[i + 1]]).hexdigest() for i in range(b - a)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(words.counts), pa.array(removed), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    return rows.select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return rows.select("doc_id", "text", "spans").mapInArrow(lean(run), "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def rewrite(docs: DataFrame, covered: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -260,7 +260,7 @@ def rewrite(docs: DataFrame, covered: DataFrame, width: int = WIDTH) -> DataFram
                 arrays[at] = pa.concat_arrays(texts)
                 yield pa.RecordBatch.from_arrays(arrays, [f"c{i}" for i in range(len(columns))]).filter(pa.array(np.concatenate(keep)))
 
-    out = rows.mapInArrow(run, own.schema)
+    out = rows.mapInArrow(lean(run), own.schema)
     return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(columns)])
 
 

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._columnar import lean
+
 GROUP = ("source", "lang", "tokenizer")
 SCHEMA = "source string, lang string, tokenizer string, n_docs long, n_tokens long"
 _encodings: dict[str, object] = {}
@@ -51,7 +53,7 @@ def signed_counts(changes: DataFrame, path: str, pattern: str, version: str, sig
             sign = np.asarray(batch.column(2))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([version] * batch.num_rows, pa.string()), batch.column(2), pa.array(n * sign)], [*GROUP, "n_docs", "n_tokens"])
 
-    return rows.mapInArrow(run, SCHEMA)
+    return rows.mapInArrow(lean(run), SCHEMA)
 
 
 def revision(before: DataFrame, after: DataFrame) -> DataFrame:
