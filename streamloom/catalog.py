@@ -338,6 +338,13 @@ def snapshot_surplus(spark, d):
     return L.surplus(o, 820454400000 + 1, 1, 10).select("name")
 
 
+@query("snapshot_surplus_all", "SELECT o_orderkey AS name FROM (SELECT *, row_number() OVER (ORDER BY epoch_ms(o_orderdate) DESC, o_orderkey) AS r FROM orders) WHERE epoch_ms(o_orderdate) < epoch_ms(TIMESTAMP '1996-01-01') OR r > 10")
+def snapshot_surplus_all(spark, d):
+    """snapshot_surplus over every order, not those with a key below 200 alone."""
+    o = io.table(spark, d, "orders").select(F.col("o_orderkey").alias("name"), (us("o_orderdate") / 1000).cast("long").alias("created_ms"))
+    return L.surplus(o, 820454400000 + 1, 1, 10).select("name")
+
+
 @query("entry_sizes", "SELECT event_id, 24 + length(event_type) + length(props) AS bytes FROM events")
 def entry_sizes(spark, d):
     return io.events(spark, d).select("event_id", S.entry_size(F.col("event_type"), F.col("props")).alias("bytes"))

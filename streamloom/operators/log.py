@@ -138,9 +138,13 @@ class Snapshots:
 
 
 def surplus(snapshots: DataFrame, now_ms: int, keep_ms: int, keep_newest: int) -> DataFrame:
-    old = F.col("created_ms") < now_ms - keep_ms
-    rank = F.row_number().over(W.orderBy(F.desc("created_ms"), "name"))  # a list of snapshots, not their rows
-    return snapshots.withColumn("_rank", rank).where(old | (F.col("_rank") > keep_newest)).drop("_rank")
+    """Snapshots (name unique, created_ms) older than keep_ms, and all but the newest keep_newest; ties in time go by name.
+
+    The newest are found with a limit that Spark applies in each task first, so no single task orders the table.
+    """
+    old = F.coalesce(F.col("created_ms") < now_ms - keep_ms, F.lit(False))
+    kept = snapshots.orderBy(F.desc("created_ms"), "name").limit(keep_newest).where(~old).select(F.col("name").alias("_name"), F.col("created_ms").alias("_created_ms"))
+    return snapshots.join(kept, F.col("name").eqNullSafe(F.col("_name")) & F.col("created_ms").eqNullSafe(F.col("_created_ms")), "left_anti")
 
 
 def snapshot_stats(snapshots: DataFrame) -> DataFrame:

@@ -242,3 +242,24 @@ def test_empty_inputs(spark):
 def test_adaptive_rate(spark):
     df = spark.createDataFrame([(100, 100, 30), (100, 100, 15), (100, 100, 0), (100, 0, 0)], "rate long, q long, e long")
     assert [r[0] for r in df.select(LI.adapt(F.col("rate"), F.col("q"), F.col("e"), 0.2, 90, 110)).collect()] == [90, 100, 110, 110]
+
+
+def test_surplus_of_a_whole_table_without_a_one_task_window(spark):
+    made = [(f"s{i:04d}", 10_000 - i // 2) for i in range(1000)] + [("none", None)]
+    df = spark.createDataFrame(made, "name string, created_ms long").repartition(7)
+    out = L.surplus(df, 10_000, 100, 5)
+    assert "Window" not in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r.name for r in out.collect()) == ["none", *(f"s{i:04d}" for i in range(5, 1000))]
+    assert sorted(r.name for r in L.surplus(df, 10_000, 100, 500).collect()) == ["none", *(f"s{i:04d}" for i in range(202, 1000))]
+    assert L.surplus(df, 10_000, 100, 2000).where("name = 'none'").count() == 0
+
+
+def test_every_order_is_ranked(spark):
+    from streamloom import catalog
+
+    d = "/root/testdata/sf0.001"
+    orders = catalog.io.table(spark, d, "orders").select("o_orderkey", F.unix_millis(F.col("o_orderdate").cast("timestamp")).alias("ms")).collect()
+    ranked = sorted(orders, key=lambda r: (-r.ms, r.o_orderkey))
+    want = {r.o_orderkey for i, r in enumerate(ranked) if r.ms < 820454400000 or i >= 10}
+    got = [r.name for r in catalog.QUERIES["snapshot_surplus_all"](spark, d).collect()]
+    assert len(got) == len(want) and set(got) == want and max(got) >= 200
