@@ -746,6 +746,12 @@ def vector_clock_cmp(spark, d):
     return v.select("event_id", S.compare_clocks(S.vector_clock(F.col("local.headers")), S.vector_clock(F.col("remote.headers"))).alias("ordering"))
 
 
+@query("vector_clock_cmp_all", f"SELECT event_id, CASE WHEN event_id % 5 = 4 THEN 'equal' WHEN (la < ra OR lb < rb) AND (la > ra OR lb > rb) THEN 'concurrent' WHEN la < ra OR lb < rb THEN 'before' WHEN la > ra OR lb > rb THEN 'after' ELSE 'equal' END AS ordering FROM {VERSIONS_SQL}")
+def vector_clock_cmp_all(spark, d):
+    """vector_clock_cmp over every event; where event_id % 5 = 4 both clocks are empty."""
+    return versions(spark, d).select("event_id", S.compare_clocks(S.vector_clock(F.col("local.headers")), S.vector_clock(F.col("remote.headers"))).alias("ordering"))
+
+
 @query("splice_insert_delete", "SELECT event_id, CASE WHEN user_id % 9 <= length(event_type) THEN event_type[:user_id % 9] || '++' || event_type[user_id % 9 + 1:] END AS inserted, CASE WHEN user_id % 5 + 2 <= length(event_type) THEN event_type[:user_id % 5] || event_type[user_id % 5 + 3:] END AS deleted FROM events")
 def splice(spark, d):
     value, u = F.col("event_type"), F.col("user_id").cast("int")
