@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from streamloom.llm import language_id, minhash_dedup, packing, secret_scan, substring_dedup
-from streamloom.llm._cluster import Workspace, broadcast_if_small, prepare
+from streamloom.llm._cluster import ROW, Workspace, broadcast_if_small, prepare, row_keyed
 from streamloom.llm.queries import held_out
 
 
@@ -30,23 +30,32 @@ def detect_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of each group stays."""
+    """The smallest doc_id of each group stays (rows without one come last), and of rows with one doc_id and text one."""
     space = Workspace(spark, "stage-near-dedup")
-    gone = space.write(minhash_dedup.near_duplicates(docs, space).where("not kept").select(F.col("doc_id").alias("_gone")), "gone")
-    return docs.join(broadcast_if_small(gone), docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
+    rows = row_keyed(docs, space)
+    judged = rows.select(F.col(ROW).alias("doc_id"), "text")
+    near = minhash_dedup.near_duplicates(judged, space).where("not kept").select(F.col("doc_id").alias("_gone"))
+    # Texts without words are in no group: repeated rows of these go here.
+    ids = space.write(rows.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "ids-repeated")
+    again = rows.join(broadcast_if_small(ids), "doc_id", "left_semi")
+    first = again.groupBy("doc_id", "text").agg(F.min(ROW).alias("_gone")).select("_gone")
+    gone = space.write(near.union(again.select(F.col(ROW).cast("long").alias("_gone")).join(first, "_gone", "left_anti")), "gone")
+    return rows.join(broadcast_if_small(gone), rows[ROW].cast("long") == F.col("_gone"), "left_anti").select(*docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 50 words and more that an earlier document has are cut."""
     space = Workspace(spark, "stage-substrings")
-    return _recounted(substring_dedup.rewrite(docs, substring_dedup.deduplicate(docs, space)))
+    rows = row_keyed(docs, space)
+    return _recounted(substring_dedup.rewrite(rows, substring_dedup.deduplicate(rows, space, key=ROW), key=ROW).select(*docs.columns))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every span that a rule finds is replaced by [SECRET]; no document goes."""
     space = Workspace(spark, "stage-secrets")
-    found = space.write(secret_scan.scan(docs, space).where(F.size("spans") > 0).select(F.col("doc_id").alias("_id"), F.col("spans").alias("_spans")), "spans")
-    rows = docs.join(broadcast_if_small(found), docs["doc_id"] == F.col("_id"), "left")
+    keyed = row_keyed(docs, space)
+    found = space.write(secret_scan.scan(keyed, space, key=ROW).where(F.size("spans") > 0).select(F.col(ROW).alias("_id"), F.col("spans").alias("_spans")), "spans")
+    rows = keyed.join(broadcast_if_small(found), keyed[ROW] == F.col("_id"), "left")
     text = F.when(F.col("_spans").isNotNull(), secret_scan.redact(F.col("text"), F.col("_spans"))).otherwise(F.col("text"))
     return _recounted(rows.withColumn("text", text).select(*docs.columns))
 

@@ -13,6 +13,8 @@ from ..session import ship_package
 BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
 #: Rows up to which a two-column side may be broadcast: some tens of MB of hash relation at most.
 BROADCAST_ROWS = 100_000
+#: Column of row_keyed.
+ROW = "_row_of_input"
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -54,6 +56,18 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def row_keyed(docs: DataFrame, space: Workspace, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """`docs` with ROW, a key of each row in the order of `key` (nulls last, then by text), to join on.
+
+    It is `key` itself where no row lacks it and none repeats it; else the rows are sorted, numbered and written once.
+    """
+    odd = docs.groupBy(F.col(key).alias("k")).agg(F.count("*").alias("n")).where("k is null or n > 1")
+    if not odd.limit(1).count():
+        return docs.withColumn(ROW, F.col(key))
+    placed = docs.withColumn(ROW, F.monotonically_increasing_id()).orderBy(F.col(key).asc_nulls_last(), text, ROW)  # ROW parts rows that are alike
+    return space.write(placed.withColumn(ROW, F.monotonically_increasing_id()), "rows-keyed")
+
+
 def connected_components(edges: DataFrame, space: Workspace, name: str = "cc", rounds: int = 40) -> DataFrame:
     """(node, component) of every node with an edge; component is the smallest node of it.
 

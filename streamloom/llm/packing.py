@@ -15,7 +15,8 @@ document of letters below U+0180 is cut into pieces and merged in numpy (see _bp
 any other document goes to the library itself.
 
 Cases: null and empty texts are the end token alone; a document longer than a sequence is cut across several; ties in
-the key go by doc_id; an empty table gives no rows; repeated doc_ids are packed each on its own.
+the key go by doc_id; an empty table gives no rows; repeated doc_ids are packed each on its own, and so are rows without
+one, whose id is hashed as 0.
 """
 
 from __future__ import annotations
@@ -250,7 +251,7 @@ class CurveKeys:
     def of(self, ids: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         docs = len(offsets) - 1
         doc = np.repeat(np.arange(docs), np.diff(offsets))
-        x = np.bincount(doc * HASHED + self.slot[ids], self.sign[ids], docs * HASHED).reshape(docs, HASHED)
+        x = np.bincount(doc * HASHED + self.slot[ids], self.sign[ids], docs * HASHED).reshape(docs, HASHED).astype(float)  # of no token at all: whole numbers
         x /= np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-12)
         point = np.clip((x @ self.axes / 3 + 1) / 2, 0, 1)  # each axis spreads like a unit normal; 3 covers nearly all
         return hilbert_index(np.minimum((point * (1 << BITS)).astype(np.int64), (1 << BITS) - 1), BITS)
@@ -265,7 +266,7 @@ def tokenised(docs: DataFrame, path: str) -> DataFrame:
         keys = CurveKeys(size)
         kind = np.uint16 if size <= 65536 else np.uint32
         for batch in batches:
-            doc_ids = np.asarray(batch.column(0))
+            doc_ids = np.asarray(batch.column(0).fill_null(0))
             for a, b, data, offsets in text_slices(batch.column(1), SLICE):
                 ids, cut = t.encode(data, offsets)
                 key = keys.of(ids, cut) << 30 | (mix(doc_ids[a:b].astype(np.int64).view(U64)) >> U64(34)).astype(np.int64)
@@ -278,7 +279,7 @@ def tokenised(docs: DataFrame, path: str) -> DataFrame:
                 buffers = [None, pa.py_buffer(at.astype(np.int32).tobytes()), pa.py_buffer(raw)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(key), pa.array(np.diff(np.concatenate([[0], end]))), pa.Array.from_buffers(pa.binary(), b - a, buffers)], ["doc_id", "key", "n_ids", "ids"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return rows.mapInArrow(lean(run), "doc_id long, key long, n_ids long, ids binary")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import embedding_dedup, language_id, minhash_dedup, nearest_neighbours, packing, piece_codec, quality_classifier, secret_scan, substring_dedup, token_counts
-from ._cluster import Workspace, prepare
+from ._cluster import ROW, Workspace, prepare, row_keyed
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,9 +28,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    covered = substring_dedup.deduplicate(docs, Workspace(spark, "op2"))
-    return substring_dedup.strip(docs, covered)
+    space = Workspace(spark, "op2")
+    docs = row_keyed(table(spark, sf_dir, "documents"), space)
+    covered = substring_dedup.deduplicate(docs, space, key=ROW)
+    return substring_dedup.strip(docs, covered, key=ROW)
 
 
 def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,8 +15,8 @@ assign = keyword, separator, value of 6 or more; access = AKIA and 16 or more; h
 last two a run is maximal either way, so the bound stands in the expression.  `assign` needs the drop: a short value
 still consumes its text.
 
-Cases: a null text is empty and has no spans; an empty table gives no rows; rows that share an id are scanned each on
-its own when `key` is unique, else their postings unite; extra columns do not matter.
+Cases: a null text is empty and has no spans; an empty table gives no rows; rows that share an id, and rows
+without one, are scanned each on its own, under a row key (row_keyed); extra columns do not matter.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._cluster import Workspace, broadcast_if_small
+from ._cluster import ROW, Workspace, broadcast_if_small, row_keyed
 
 try:
     from re import _constants as sre, _parser as sre_parser
@@ -198,26 +198,27 @@ def spans_of(text: Column, rule: Rule) -> Column:
 
 
 def scan(docs: DataFrame, space: Workspace, rules: tuple[Rule, ...] = RULES, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """`key` and spans (array<struct<kind, start, end>> by start, then rule order) of every document."""
+    """`key` and spans (array<struct<kind, start, end>> by start, then rule order) of every row, whether or not `key` is there and unique."""
+    docs = row_keyed(docs, space, key, text)
     conditions = {r.kind: trigram_condition(r.pattern) for r in rules}
     indexed = [r for r in rules if conditions[r.kind] != TRUE]
     empty = F.array().cast("array<struct<kind:string,start:int,end:int>>")
     order = F.create_map(*[x for i, r in enumerate(rules) for x in (F.lit(r.kind), F.lit(i))])
     body = F.coalesce(F.col(text), F.lit(""))
     full = [F.when(body.rlike(r.pattern), spans_of(body, r)).otherwise(empty) for r in rules if conditions[r.kind] == TRUE]
-    everywhere = docs.select(F.col(key).alias("id"), F.concat(empty, *full).alias("own"))
+    everywhere = docs.select(F.col(ROW).alias("id"), F.col(key).alias("key"), F.concat(empty, *full).alias("own"))
     if not indexed:
-        joined = everywhere.select("id", F.col("own").alias("spans"))
+        joined = everywhere.select("key", F.col("own").alias("spans"))
     else:
-        index = space.write(build_index(docs, sorted({t for r in indexed for p in conditions[r.kind] for t in p}), key, text), "index")
+        index = space.write(build_index(docs, sorted({t for r in indexed for p in conditions[r.kind] for t in p}), ROW, text), "index")
         some = space.write(candidates(index, indexed), "candidates")
-        texts = docs.select(F.col(key).alias("id"), body.alias("body")).join(broadcast_if_small(some), "id")
+        texts = docs.select(F.col(ROW).alias("id"), body.alias("body")).join(broadcast_if_small(some), "id")
         verified = texts.select("id", F.concat(*[F.when(F.array_contains("kinds", r.kind), spans_of(F.col("body"), r)).otherwise(empty) for r in indexed]).alias("more")).where(F.size("more") > 0)
         verified = space.write(verified.groupBy("id").agg(F.flatten(F.collect_list("more")).alias("more")), "verified")
-        joined = everywhere.join(verified, "id", "left").select("id", F.concat("own", F.coalesce("more", empty)).alias("spans"))
+        joined = everywhere.join(verified, "id", "left").select("key", F.concat("own", F.coalesce("more", empty)).alias("spans"))
     ranked = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), order[s["kind"]].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind")))
     sorted_spans = F.transform(F.array_sort(ranked), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
-    return joined.select(F.col("id").alias(key), sorted_spans.alias("spans"))
+    return joined.select(F.col("key").alias(key), sorted_spans.alias("spans"))
 
 
 def of_kinds(spans: str, kinds: list[str]) -> Column:

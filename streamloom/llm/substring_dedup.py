@@ -16,7 +16,8 @@ judged on the input.  Hot passages: first documents are grouped minima (combined
 at most one row a key on the right, so adaptive execution may split the left; no list of a passage's documents is built.
 
 Cases: a null text has no words; a text of fewer than `width` words is never covered; repeats inside one document
-stay; equal doc_ids are one document's rows and do not cover each other; an empty batch is a no-op.
+stay; an empty batch is a no-op.  Of a table whose doc_ids are null or repeated, each row is a document under its row key
+(row_keyed, given as `key`): rows without an id come last.
 """
 
 from __future__ import annotations
@@ -210,9 +211,9 @@ def covered_mask(words: Words, spans: np.ndarray, bounds: np.ndarray, width: int
     return np.cumsum(step[:-1]) > 0
 
 
-def strip(docs: DataFrame, covered: DataFrame, width: int = WIDTH) -> DataFrame:
-    """What is left of each document: doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by one space)."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(covered, "doc_id", "left")
+def strip(docs: DataFrame, covered: DataFrame, width: int = WIDTH, key: str = "doc_id") -> DataFrame:
+    """What is left of each document: doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by one space); `key` as in deduplicate."""
+    rows = docs.select(F.col(key).cast("long").alias("id"), F.col("doc_id").cast("long").alias("doc_id"), "text").join(covered.select(F.col("doc_id").alias("id"), "spans"), "id", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -229,14 +230,14 @@ def strip(docs: DataFrame, covered: DataFrame, width: int = WIDTH) -> DataFrame:
     return rows.select("doc_id", "text", "spans").mapInArrow(lean(run), "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
-def rewrite(docs: DataFrame, covered: DataFrame, width: int = WIDTH) -> DataFrame:
+def rewrite(docs: DataFrame, covered: DataFrame, width: int = WIDTH, key: str = "doc_id") -> DataFrame:
     """The documents with all their columns; covered words are cut from `text` (the rest joined by one space), others stay untouched.
 
-    Documents that lose all their words go.
+    Documents that lose all their words go; `key` as in deduplicate.
     """
     columns = docs.columns
     own = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)])
-    at, key = columns.index("text"), f"c{columns.index('doc_id')}"
+    at, key = columns.index("text"), f"c{columns.index(key)}"
     rows = own.join(covered.select(F.col("doc_id").alias("id"), "spans"), F.col(key).cast("long") == F.col("id"), "left").drop("id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,9 +265,9 @@ def rewrite(docs: DataFrame, covered: DataFrame, width: int = WIDTH) -> DataFram
     return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(columns)])
 
 
-def deduplicate(docs: DataFrame, space: Workspace, batches: int = 2, width: int = WIDTH) -> DataFrame:
-    """Covered spans of all documents, fed to one index as `batches` ranges of doc_id."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+def deduplicate(docs: DataFrame, space: Workspace, batches: int = 2, width: int = WIDTH, key: str = "doc_id") -> DataFrame:
+    """Covered spans of all documents, fed to one index as `batches` ranges of `key`, unique and without nulls; the result calls it doc_id."""
+    docs = docs.select(F.col(key).cast("long").alias("doc_id"), "text")
     low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
     index, out = FingerprintIndex(space, width), None
     low, high = (0, 0) if low is None else (low, high)

@@ -214,3 +214,12 @@ def test_model_file_is_of_the_kind_the_twin_knows():
     with open(WORD, encoding="utf-8") as f:
         spec = json.load(f)
     assert [n["type"] for n in spec["normalizer"]["normalizers"]] == ["NFC", "Replace", "Lowercase"]
+
+
+def test_packing_keeps_rows_without_an_id_and_repeated_rows(frame, space):
+    rows = [(None, text(1, 300)), (None, None), (5, text(2, 40)), (5, text(2, 40)), (None, text(1, 300))]
+    got = packing.pack(frame(rows), WORD, space, 64).collect()
+    library = packing.tokenizer(WORD).library
+    want = sorted(((i, len(library.encode(t or "", add_special_tokens=False).ids) + 1) for i, t in rows), key=str)
+    assert sorted(((p.doc_id, p.doc_tokens) for p in got if p.start == 0), key=str) == want
+    assert sum(p.length for p in got) == sum(n for _, n in want)

@@ -242,3 +242,10 @@ def test_secret_scan_is_native(frame, space):
 
 def test_secret_empty_table(frame, space):
     assert secret_scan.scan(frame([]), space).count() == 0
+
+
+def test_secret_spans_of_rows_without_an_id_and_of_repeated_rows(frame, space):
+    rows = [(i, t) for i, t in SECRETS if i != 7]
+    rows = [*rows, *rows, *((None, t) for _, t in rows), (1, "token=abcdefgh")]
+    got = secret_scan.scan(frame(rows), space, secret_scan.BASE).select("doc_id", secret_scan.span_text(F.col("spans")).alias("s")).collect()
+    assert sorted(((r.doc_id, r.s) for r in got), key=str) == sorted(((i, brute_spans(t or "")) for i, t in rows), key=str)
