@@ -12,7 +12,7 @@ sum of those before it.
 
 Tokens are those of the `tokenizers` library for a model of the "word BPE, lower case, white space dropped" kind: a
 document of letters below U+0180 is cut into pieces and merged in numpy (see _bpe), each distinct piece of a slice once;
-any other document goes to the library itself.
+any other document, and any that has the text of an added token (`<|endoftext|>`), goes to the library itself, with its defaults.
 
 Cases: null and empty texts are the end token alone; a document longer than a sequence is cut across several; ties in
 the key go by doc_id; an empty table gives no rows; repeated doc_ids are packed each on its own, and so are rows without
@@ -22,6 +22,7 @@ one, whose id is hashed as 0.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -63,6 +64,7 @@ class WordTokenizer:
         model = spec["model"]
         vocab, suffix = model["vocab"], model["end_of_word_suffix"]
         self.size = max([*vocab.values(), *(t["id"] for t in spec.get("added_tokens", []))]) + 1
+        self.added = [re.compile(re.escape(t["content"].encode())) for t in spec.get("added_tokens", [])]
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         left, right, merged = (np.array([vocab[x(m)] for m in merges]) for x in (lambda m: m[0], lambda m: m[1], lambda m: m[0] + m[1]))
         self.pairs = PairTable(left, right, merged, np.arange(len(merges)))
@@ -90,7 +92,6 @@ class WordTokenizer:
             from tokenizers import Tokenizer
 
             self._library = Tokenizer.from_file(self.path)
-            self._library.encode_special_tokens = True
         return self._library
 
     def pieces(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -111,6 +112,10 @@ class WordTokenizer:
         foreign = np.zeros(docs, bool)
         odd = np.flatnonzero(kind == FOREIGN)
         foreign[np.searchsorted(bounds, odd, "right") - 1] = True
+        raw = data.tobytes()
+        for token in self.added:
+            for m in token.finditer(raw):
+                foreign[np.searchsorted(offsets, m.start(), "right") - 1] = True
         low = self.low[code]
         out = data.copy()
         changed = np.flatnonzero((low != code) & ~strange)

@@ -223,3 +223,13 @@ def test_packing_keeps_rows_without_an_id_and_repeated_rows(frame, space):
     want = sorted(((i, len(library.encode(t or "", add_special_tokens=False).ids) + 1) for i, t in rows), key=str)
     assert sorted(((p.doc_id, p.doc_tokens) for p in got if p.start == 0), key=str) == want
     assert sum(p.length for p in got) == sum(n for _, n in want)
+
+
+def test_added_tokens_are_those_of_a_fresh_tokenizer(frame, space):
+    library = tokenizers.Tokenizer.from_file(WORD)
+    assert library.encode("hello <|endoftext|> world", add_special_tokens=False).ids == [3306, 49407, 1002]
+    rows = list(enumerate(["hello <|endoftext|> world", "", "a<|startoftext|>b", "<|endoftext|", "|> <|ENDOFTEXT|>", "plain", "<|endoftext|><|endoftext|>"]))
+    whole = {}
+    for p in packing.pack(frame(rows), WORD, space, with_ids=True).orderBy("doc_id", "start").collect():
+        whole.setdefault(p.doc_id, []).extend(p.ids)
+    assert whole == {i: library.encode(t, add_special_tokens=False).ids + [1] for i, t in rows}
