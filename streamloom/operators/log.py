@@ -33,8 +33,8 @@ def append(batch: DataFrame, order: list[str], ends: DataFrame | None = None, no
 def read(log: DataFrame, offset: int, max_bytes: int | None = None, max_offset: int | None = None, partition: list[str] = PARTITION, size: Column | None = None) -> DataFrame:
     """Rows of every partition from `offset` on, while their sizes add up to at most max_bytes; always one row at least.
 
-    Every entry has 24 bytes or more, so the budget bounds how many offsets need looking at: the running sum never runs
-    over more than max_bytes / 24 rows of a partition.
+    Every entry has 24 bytes or more, so the budget bounds how many rows of a partition need looking at, however far apart
+    their offsets are: the first max_bytes / 24 + 1 by rank, and only over those runs the sum.
     """
     rows = log.where(F.col("offset") >= offset)
     if max_offset is not None:
@@ -42,10 +42,10 @@ def read(log: DataFrame, offset: int, max_bytes: int | None = None, max_offset:
     if max_bytes is None:
         return rows
     size = entry_size(F.col("key"), F.col("value")) if size is None else size
-    near = rows.where(F.col("offset") <= offset + max_bytes // 24 + 1)
     w = W.partitionBy(*partition).orderBy("offset")
+    near = rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= max_bytes // 24 + 1)
     running = F.sum(size).over(w.rowsBetween(W.unboundedPreceding, 0))
-    return near.withColumn("_bytes", running).withColumn("_n", F.row_number().over(w)).where((F.col("_bytes") <= max_bytes) | (F.col("_n") == 1)).drop("_bytes", "_n")
+    return near.withColumn("_bytes", running).where((F.col("_bytes") <= max_bytes) | (F.col("_n") == 1)).drop("_bytes", "_n")
 
 
 def in_range(log: DataFrame, offset: int, partition: list[str] = PARTITION) -> DataFrame:

@@ -274,3 +274,10 @@ def test_every_event_has_its_clocks_compared(spark):
     assert sorted(got) == sorted(ids)
     empty = [got[i] for i in ids if i % 5 == 4]
     assert empty and set(empty) == {"equal"}
+
+
+def test_read_of_a_log_with_gaps(spark):
+    log = spark.createDataFrame([("t", p, i, "k", "v" * 100) for p, i in ((0, 20), (0, 5000), (1, 7000), (1, 9000), (2, 3))], "topic string, partition int, offset long, key string, value string")
+    assert rows(L.read(log, 20, 1000).select("partition", "offset")) == [(0, 20), (0, 5000), (1, 7000), (1, 9000)]
+    assert rows(L.read(log, 20, 10).select("partition", "offset")) == [(0, 20), (1, 7000)]
+    assert "WindowGroupLimit" in L.read(log, 20, 1000)._jdf.queryExecution().optimizedPlan().toString()
