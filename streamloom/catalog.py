@@ -597,7 +597,7 @@ def sticky_assignment(spark, d):
     """Who gets what depends on history; its balance does not."""
     m = members(spark, d)
     before = G.range_assignment(m.where("session_timeout_us > 0"), topics(spark)).where("topic = 'parts'")
-    return _counts(G.assign(m, topics(spark), "cooperative", before), m)
+    return _counts(G.assign(m, topics(spark), "sticky", before), m)
 
 
 @query("cooperative_assignment", COUNTS_SQL)

@@ -281,3 +281,16 @@ def test_read_of_a_log_with_gaps(spark):
     assert rows(L.read(log, 20, 1000).select("partition", "offset")) == [(0, 20), (0, 5000), (1, 7000), (1, 9000)]
     assert rows(L.read(log, 20, 10).select("partition", "offset")) == [(0, 20), (1, 7000)]
     assert "WindowGroupLimit" in L.read(log, 20, 1000)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_sticky_query_runs_the_sticky_policy(spark, monkeypatch):
+    from streamloom import catalog
+
+    calls, assign = [], G.assign
+    monkeypatch.setattr(G, "assign", lambda *a: calls.append((a, assign(*a))) or calls[-1][1])
+    catalog.QUERIES["sticky_assignment"](spark, "/root/testdata/sf0.001")
+    ((m, t, policy, before), out), = calls
+    assert policy == "sticky"
+    keys = ["group_id", "member_id", "topic", "partition"]
+    assert before.count() and before.select(*keys).exceptAll(out.select(*keys)).count() == 0
+    assert out.select("group_id", "topic", "partition").distinct().count() == out.count() == 11 * m.select("group_id").distinct().count()
