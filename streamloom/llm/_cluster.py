@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
@@ -18,12 +18,19 @@ ROW = "_row_of_input"
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Executors get the package; batches to and from Python are bounded."""
+    """Executors get the package; batches to and from Python are bounded; a job's shuffle files go with the job; sorted buckets are read as such."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+    spark.conf.set("spark.sql.legacy.bucketedTableScan.outputOrdering", "true")
     return ship_package(spark)
 
 
+def quoted(name: str) -> Column:
+    """The column of this very name, whatever characters it holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share; only where the session names none (tests) one under /tmp is set."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
@@ -39,6 +46,7 @@ class Workspace:
     def __init__(self, spark: SparkSession, label: str):
         self.spark = prepare(spark)
         self.path = f"{shared_folder(spark)}/streamloom/{label}-{uuid.uuid4().hex}"
+        self.tables: dict[str, str] = {}
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         """Cuts the lineage: a lost executor costs a re-read, not a recomputation."""
@@ -46,14 +54,31 @@ class Workspace:
         df.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.path}/{name}")
         return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
 
-    def drop(self, name: str) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+    def write_dealt(self, df: DataFrame, name: str, *keys: str) -> DataFrame:
+        """As `write`, but bucketed and sorted by `keys`: joins and groups on them move none of its rows.
+
+        For rows that are dealt by `keys` already (grouped or joined by them, or repartitioned), one row or few a key; there are as
+        many buckets as shuffle partitions.
+        """
+        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        table = f"streamloom_{uuid.uuid4().hex}"
+        df.write.bucketBy(n, *keys).sortBy(*keys).option("compression", "zstd").option("path", f"{self.path}/{name}").format("parquet").saveAsTable(table)
+        self.tables[name] = table
+        return self.spark.table(table)
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            if name in self.tables:
+                self.spark.sql(f"DROP TABLE IF EXISTS {self.tables.pop(name)}")
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Marks `df` (a written table, narrow rows) for broadcast if it is counted to have few rows; else joins shuffle."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def broadcast_if_small(df: DataFrame, items: str | None = None, most: int = BROADCAST_ROWS) -> DataFrame:
+    """Marks `df` (a written table, narrow rows) for broadcast if it is counted to have few rows, and few `items` (a list column); else joins shuffle."""
+    weight = F.lit(1) if items is None else F.size(items) + 1
+    n = df.select(weight.alias("n")).limit(most + 1).agg(F.sum("n")).first()[0] or 0
+    return F.broadcast(df) if n <= most else df
 
 
 def row_keyed(docs: DataFrame, space: Workspace, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -93,5 +118,6 @@ def connected_components(edges: DataFrame, space: Workspace, name: str = "cc", r
         seen = state
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
+    space.drop(f"{name}-low", f"{name}-down", f"{name}-least", f"{name}-{i - 1}")
     stars = now.groupBy("a").agg(F.min("b").alias("component"))
     return stars.select(F.col("a").alias("node"), "component").union(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -23,7 +23,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from ._cluster import quoted
 from ._columnar import lean
 
 DOCS_PER_LANGUAGE = 96
@@ -168,8 +170,8 @@ class CrossParser:
 def identify(docs: DataFrame, sample: dict[str, list[str]], key: str = "doc_id", text: str = "text", keep: list[str] | None = None, names: tuple[str, str] = ("lang_pred", "lang_score")) -> DataFrame:
     """`keep` columns (the key by default) with prediction and score, called `names`; score is the winner's share of 2**(-4 bits)."""
     columns = [key] if keep is None else keep
-    rows = docs.select(*columns, *([] if text in columns else [text]))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in columns) + f", `{names[0]}` string, `{names[1]}` double"
+    rows = docs.select(*map(quoted, columns), *([] if text in columns else [quoted(text)]))
+    schema = StructType([*(f for f in rows.schema if f.name in columns), StructField(names[0], StringType()), StructField(names[1], DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = None

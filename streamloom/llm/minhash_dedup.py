@@ -251,6 +251,7 @@ def near_duplicates(docs: DataFrame, space: Workspace, threshold: float = THRESH
     copies = space.write(all_rows.groupBy("sha").agg(F.min("doc_id").alias("copy_of"), F.count("*").alias("n")).where("n > 1").select("sha", "copy_of"), "copies")
     member = all_rows.join(copies, "sha", "left").select("doc_id", F.coalesce("copy_of", "doc_id").alias("copy_of"), "weight", "bands")
     member = space.write(member, "member")
+    space.drop("signatures", "copies")
     distinct = member.where("doc_id = copy_of").groupBy("doc_id").agg(F.min(F.struct("weight", "bands")).alias("r")).select("doc_id", "r.*")
     banded = distinct.select("doc_id", "weight", F.posexplode("bands").alias("band", "key"))
     buckets = space.write(banded.groupBy("band", "key").agg(F.min("doc_id").alias("center"), F.count("*").alias("n")).where("n > 1").select("band", "key", "center"), "buckets")
@@ -271,8 +272,9 @@ def near_duplicates(docs: DataFrame, space: Workspace, threshold: float = THRESH
     links = links.union(space.write(across(part.join(loose, ["band", "key"]), distinct, lists, threshold), "links-2"))
     groups = connected_components(links, space, "cc-2")
 
-    groups = space.write(groups, "groups")
     found = member.select("doc_id", "copy_of").join(groups.withColumnRenamed("node", "copy_of"), "copy_of", "left")
     found = found.groupBy("doc_id").agg(F.min("copy_of").alias("copy_of"), F.min(F.coalesce("component", "copy_of")).alias("component_id"))
+    found = space.write(found, "found")
+    space.drop("member", "buckets", "hits", "involved", "shingles", "links-1", "links-2", "parts", "loose")
     out = ids.select("doc_id").distinct().join(found, "doc_id", "left")
     return out.select("doc_id", F.coalesce("copy_of", "doc_id").alias("copy_of"), F.coalesce("component_id", "doc_id").alias("component_id"), (F.coalesce("component_id", "doc_id") == F.col("doc_id")).alias("kept"))

@@ -29,7 +29,8 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     space = Workspace(spark, "op2")
-    docs = row_keyed(table(spark, sf_dir, "documents"), space)
+    docs = row_keyed(table(spark, sf_dir, "documents").select("doc_id", "text"), space)
+    docs = substring_dedup.by_key(docs, space, ROW)
     covered = substring_dedup.deduplicate(docs, space, key=ROW)
     return substring_dedup.strip(docs, covered, key=ROW)
 

@@ -215,6 +215,7 @@ def scan(docs: DataFrame, space: Workspace, rules: tuple[Rule, ...] = RULES, key
         texts = docs.select(F.col(ROW).alias("id"), body.alias("body")).join(broadcast_if_small(some), "id")
         verified = texts.select("id", F.concat(*[F.when(F.array_contains("kinds", r.kind), spans_of(F.col("body"), r)).otherwise(empty) for r in indexed]).alias("more")).where(F.size("more") > 0)
         verified = space.write(verified.groupBy("id").agg(F.flatten(F.collect_list("more")).alias("more")), "verified")
+        space.drop("index", "candidates")
         joined = everywhere.join(verified, "id", "left").select("key", F.concat("own", F.coalesce("more", empty)).alias("spans"))
     ranked = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), order[s["kind"]].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind")))
     sorted_spans = F.transform(F.array_sort(ranked), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))

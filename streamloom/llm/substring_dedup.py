@@ -5,18 +5,20 @@ filed under one of the grams (`GRAM` words) inside it, the one of least hash: eq
 neighbouring windows mostly share theirs, so a document has one index row for about `width - GRAM` / 2 words:
 (fp: the gram's hash, rh: hash of all words of the windows that chose it, doc_id, their first and last position).
 
-The index is a log: each batch is written as one immutable run sorted by (fp, rh), with the first document of each;
-`FingerprintIndex.add` merge-joins a batch with all runs, and once there are more than `fan_in` of them they are merged
-into one.  A batch's row whose (fp, rh) is an earlier document's is covered whole.  Where only fp agrees, the texts of
-the two documents are read again and every window of those rows is compared by two independent 64-bit hashes of its
-words (verification), so windows that straddle the end of a shared passage are decided exactly.
+The index is a log: each batch leaves one immutable run, bucketed and sorted by key (FingerprintIndex); `add` merge-joins a
+batch with every run, and once there are more than `fan_in` of them they are merged into one, bucket by bucket.  `deduplicate`
+feeds three batches with fan_in 1, so the third meets a compacted run.  A batch's row whose (fp, rh) an earlier document has is
+covered whole, on those 128 bits.  Where only fp agrees, the texts of the two documents are read again and every window of those
+rows is compared by two independent 64-bit hashes of its words (verification), so windows that straddle the end of a shared
+passage are decided exactly.  What moves: grams and rows of a batch, each once, the bodies of runs once a batch where grams
+agree in part, and texts once (by_key), however many batches there are.
 
 Earlier means a smaller doc_id, in this batch or an earlier one; batches must come with ascending doc_id.  Coverage is
 judged on the input.  Hot passages: first documents are grouped minima (combined before the shuffle), and joins meet
 at most one row a key on the right, so adaptive execution may split the left; no list of a passage's documents is built.
 
 Cases: a null text has no words; a text of fewer than `width` words is never covered; repeats inside one document
-stay; an empty batch is a no-op.  Of a table whose doc_ids are null or repeated, each row is a document under its row key
+stay; an empty batch is a no-op; extra columns are not touched.  Of a table whose doc_ids are null or repeated, each row is a document under its row key
 (row_keyed, given as `key`): rows without an id come last.
 """
 
@@ -132,31 +134,32 @@ def packed(p1: str, p2: str):
 
 
 class FingerprintIndex:
-    """Sorted immutable runs below a Workspace; `add` deduplicates a batch against them and adds its own run."""
+    """Sorted immutable runs below a Workspace; `add` deduplicates a batch against them and adds its own run.
 
-    def __init__(self, space: Workspace, width: int = WIDTH, gram: int = GRAM, fan_in: int = 4):
+    A run is two tables, bucketed and sorted by their keys: heads (a row a gram: fp, least and greatest rh) and bodies (a row a
+    (fp, rh): its first document).  Each has one row a key, so a batch, grouped by the same key, is merge-joined with a run where
+    the run lies, and no gram is too common for a task.
+    """
+
+    def __init__(self, space: Workspace, width: int = WIDTH, gram: int = GRAM, fan_in: int = 1):
         self.space, self.width, self.gram, self.fan_in = space, width, gram, fan_in
-        self.runs: list[DataFrame] = []
-        self.names: list[str] = []
+        self.runs: list[tuple[DataFrame, DataFrame]] = []
+        self.names: list[tuple[str, str]] = []
         self.batches = 0
 
-    def history(self) -> DataFrame | None:
-        out = None
-        for run in self.runs:
-            out = run if out is None else out.union(run)
-        return out
-
-    def _sorted_run(self, rows: DataFrame, name: str) -> DataFrame:
-        first = rows.groupBy("fp", "rh").agg(F.min(F.struct("doc_id", "p1", "p2")).alias("f")).select("fp", "rh", "f.*")
-        return self.space.write(first.sortWithinPartitions("fp", "rh"), name)
-
     def compact(self) -> None:
-        """Merges all runs into one; the old ones go only once it is written."""
-        if len(self.runs) > 1:
-            merged = self._sorted_run(self.history(), f"run-{self.batches}-merged")
-            for name in self.names:
-                self.space.drop(name)
-            self.runs, self.names = [merged], [f"run-{self.batches}-merged"]
+        """Merges all runs into one, bucket by bucket; the old ones go only once it is written."""
+        if len(self.runs) < 2:
+            return
+        (heads, bodies), *others = self.runs
+        for h, b in others:
+            heads = heads.join(h.toDF("fp", "lo", "hi"), "fp", "full").select("fp", F.least("rlo", "lo").alias("rlo"), F.greatest("rhi", "hi").alias("rhi"))
+            bodies = bodies.join(b.toDF("fp", "rh", "other"), ["fp", "rh"], "full").select("fp", "rh", F.least("f", "other").alias("f"))
+        names = (f"heads-to-{self.batches}", f"bodies-to-{self.batches}")
+        merged = (self.space.write_dealt(heads, names[0], "fp"), self.space.write_dealt(bodies, names[1], "fp", "rh"))
+        for old in self.names:
+            self.space.drop(*old)
+        self.runs, self.names = [merged], [names]
 
     def add(self, batch: DataFrame, corpus: DataFrame, more: bool = True) -> DataFrame:
         """doc_id, spans (list of packed word ranges [p1, p2) that earlier documents have) for documents of the batch with any.
@@ -166,19 +169,30 @@ class FingerprintIndex:
         b, space = self.batches, self.space
         self.batches += 1
         rows = space.write(fingerprints(batch, self.width, self.gram), f"rows-{b}")
-        old = self.history()
-        light = rows.select("fp", "doc_id") if old is None else rows.select("fp", "doc_id").union(old.select("fp", "doc_id"))
-        # Tables of keys are written before they are joined: adaptive execution can then split a hot key's rows over tasks.
-        shared = space.write(light.groupBy("fp").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("fp"), f"shared-{b}")
-        new = rows.withColumn("fresh", F.lit(True))
-        known = new if old is None else new.unionByName(old.withColumn("fresh", F.lit(False)))
-        hits = space.write(known.join(shared, "fp", "left_semi"), f"hits-{b}")
-        repeated = hits.groupBy("fp", "rh").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("fp", "rh", "first")
+        heads = rows.groupBy("fp").agg(F.min("rh").alias("rlo"), F.max("rh").alias("rhi"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
+        heads = space.write_dealt(heads, f"heads-of-{b}", "fp")
+        met, earlier = heads, F.lit(False)
+        for i, (h, _) in enumerate(self.runs):
+            met = met.join(h.toDF("fp", f"rlo{i}", f"rhi{i}"), "fp", "left")
+            earlier = earlier | F.col(f"rlo{i}").isNotNull()
+        least, most = (F.least, F.greatest) if self.runs else (lambda c: F.col(c), lambda c: F.col(c))
+        mixed = least("rlo", *[f"rlo{i}" for i in range(len(self.runs))]) < most("rhi", *[f"rhi{i}" for i in range(len(self.runs))])
+        shared = space.write(met.where((F.col("lo") < F.col("hi")) | earlier).select("fp", mixed.alias("mixed")), f"shared-{b}")
+        # Both sides are written, not dealt: adaptive execution can then split a hot gram's rows over tasks.
+        hits = space.write(rows.join(shared, "fp"), f"hits-{b}")
+        repeated = hits.groupBy("fp", "rh").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
+        again = F.col("n") > 1
+        for i, (_, body) in enumerate(self.runs):
+            repeated = repeated.join(body.select("fp", "rh", F.col("f.doc_id").alias(f"d{i}")), ["fp", "rh"], "left")
+            again = again | F.col(f"d{i}").isNotNull()
+        repeated = repeated.where(again).select("fp", "rh", least("first", *[f"d{i}" for i in range(len(self.runs))]).alias("first"))
         repeated = space.write(repeated, f"repeated-{b}")
-        mixed = space.write(hits.groupBy("fp").agg(F.min("rh").alias("lo"), F.max("rh").alias("hi")).where("lo < hi").select("fp"), f"mixed-{b}")
         judged = hits.join(repeated, ["fp", "rh"], "left").withColumn("first", F.coalesce("first", "doc_id"))
-        whole = judged.where("fresh and first < doc_id").select("doc_id", packed("p1", "p2").alias("span"))
-        unsure = judged.where("first = doc_id").join(mixed, "fp", "left_semi").select("doc_id", packed("p1", "p2").alias("span"), "fresh")
+        whole = judged.where("first < doc_id").select("doc_id", packed("p1", "p2").alias("span"))
+        unsure = judged.where("first = doc_id and mixed").select("doc_id", packed("p1", "p2").alias("span"), F.lit(True).alias("fresh"))
+        for _, body in self.runs:
+            old = body.select("fp", "f.*").join(shared.where("mixed").select("fp"), "fp", "left_semi")
+            unsure = unsure.union(old.select("doc_id", packed("p1", "p2").alias("span"), F.lit(False).alias("fresh")))
         spans = unsure.groupBy("doc_id").agg(F.sort_array(F.collect_set("span")).alias("spans"), F.max("fresh").alias("fresh"))
         spans = space.write(spans, f"spans-{b}")
         texts = corpus.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(spans, "doc_id")
@@ -186,20 +200,26 @@ class FingerprintIndex:
         lowest = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h1", "h2", "lo")
         lowest = space.write(lowest, f"lowest-{b}")
         partly = windows.join(lowest, ["h1", "h2"]).where("doc_id > lo").select("doc_id", packed("pos", "pos").alias("span"))
-        if old is not None:  # windows of earlier batches were judged with them
+        if self.runs:  # windows of earlier batches were judged with them
             partly = partly.join(spans.where("fresh").select("doc_id"), "doc_id", "left_semi")
         covered = whole.union(partly).groupBy("doc_id").agg(F.collect_set("span").alias("spans"))
         result = space.write(covered, f"covered-{b}")
         if more:
-            name = f"run-{b}"
-            self.runs.append(self._sorted_run(rows, name))
-            self.names.append(name)
+            bodies = rows.groupBy("fp", "rh").agg(F.min(F.struct("doc_id", "p1", "p2")).alias("f"))
+            self.runs.append((heads.select("fp", "rlo", "rhi"), space.write_dealt(bodies, f"bodies-of-{b}", "fp", "rh")))
+            self.names.append((f"heads-of-{b}", f"bodies-of-{b}"))
             if len(self.runs) > self.fan_in:
                 self.compact()
-        for name in ("rows", "shared", "hits", "repeated", "mixed", "spans", "windows", "lowest"):
-            space.drop(f"{name}-{b}")
+        else:
+            space.drop(f"heads-of-{b}")
+        space.drop(*(f"{name}-{b}" for name in ("rows", "shared", "hits", "repeated", "spans", "windows", "lowest")))
         return result
 
+    def close(self) -> None:
+        for names in self.names:
+            self.space.drop(*names)
+        self.runs, self.names = [], []
+
 
 def covered_mask(words: Words, spans: np.ndarray, bounds: np.ndarray, width: int) -> np.ndarray:
     """Which words lie in a window that starts in one of the documents' spans."""
@@ -265,7 +285,13 @@ def rewrite(docs: DataFrame, covered: DataFrame, width: int = WIDTH, key: str =
     return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(columns)])
 
 
-def deduplicate(docs: DataFrame, space: Workspace, batches: int = 2, width: int = WIDTH, key: str = "doc_id") -> DataFrame:
+def by_key(docs: DataFrame, space: Workspace, key: str = "doc_id") -> DataFrame:
+    """The documents written once, dealt by `key` (unique): spans then come to the texts, and no text is moved again."""
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return space.write_dealt(docs.withColumn(key, F.col(key).cast("long")).repartition(n, key), "by-key", key)
+
+
+def deduplicate(docs: DataFrame, space: Workspace, batches: int = 3, width: int = WIDTH, key: str = "doc_id") -> DataFrame:
     """Covered spans of all documents, fed to one index as `batches` ranges of `key`, unique and without nulls; the result calls it doc_id."""
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), "text")
     low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
@@ -276,4 +302,5 @@ def deduplicate(docs: DataFrame, space: Workspace, batches: int = 2, width: int
         part = docs.where(F.col("doc_id").between(edges[i], edges[i + 1] - 1))
         got = index.add(part, docs.where(F.col("doc_id") < edges[i + 1]), more=i + 1 < batches)
         out = got if out is None else out.union(got)
+    index.close()
     return out
