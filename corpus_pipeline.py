@@ -1,88 +1,5 @@
-"""The corpus pipeline: language ID, near-duplicates, repeated passages, secrets, packing; each stage reads the last one's Parquet.
+"""The corpus pipeline (streamloom.llm.pipeline): STAGES, run and ORACLE_SQL."""
 
-The first four stages return the columns of documents: rows go (no language; not the kept one of a group of
-near-duplicates; nothing left) or their text changes (repeated passages are cut, secrets are masked, n_chars follows).
-The last returns one row a piece of a packed sequence, with its token ids.
-"""
+from streamloom.llm.pipeline import ORACLE_SQL, run, STAGES
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from streamloom.llm import language_id, minhash_dedup, packing, secret_scan, substring_dedup
-from streamloom.llm._cluster import ROW, Workspace, broadcast_if_small, prepare, row_keyed
-from streamloom.llm.queries import held_out
-
-
-def _recounted(docs: DataFrame) -> DataFrame:
-    if "n_chars" not in docs.columns:
-        return docs
-    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-
-
-def detect_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no language is found (`und`: no text, no letter) go."""
-    prepare(spark)
-    sample = language_id.training_sample(docs.where(~held_out()))
-    names = ("_lang_pred_of_stage", "_lang_score_of_stage")
-    return language_id.identify(docs, sample, keep=docs.columns, names=names).where(F.col(names[0]) != "und").drop(*names)
-
-
-def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of each group stays (rows without one come last), and of rows with one doc_id and text one."""
-    space = Workspace(spark, "stage-near-dedup")
-    rows = row_keyed(docs, space)
-    judged = rows.select(F.col(ROW).alias("doc_id"), "text")
-    near = minhash_dedup.near_duplicates(judged, space).where("not kept").select(F.col("doc_id").alias("_gone"))
-    # Texts without words are in no group: repeated rows of these go here.
-    ids = space.write(rows.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "ids-repeated")
-    again = rows.join(broadcast_if_small(ids), "doc_id", "left_semi")
-    first = again.groupBy("doc_id", "text").agg(F.min(ROW).alias("_gone")).select("_gone")
-    gone = space.write(near.union(again.select(F.col(ROW).cast("long").alias("_gone")).join(first, "_gone", "left_anti")), "gone")
-    return rows.join(broadcast_if_small(gone), rows[ROW].cast("long") == F.col("_gone"), "left_anti").select(*docs.columns)
-
-
-def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 50 words and more that an earlier document has are cut."""
-    space = Workspace(spark, "stage-substrings")
-    rows = row_keyed(docs, space)
-    return _recounted(substring_dedup.rewrite(rows, substring_dedup.deduplicate(rows, space, key=ROW), key=ROW).select(*docs.columns))
-
-
-def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every span that a rule finds is replaced by [SECRET]; no document goes."""
-    space = Workspace(spark, "stage-secrets")
-    keyed = row_keyed(docs, space)
-    found = space.write(secret_scan.scan(keyed, space, key=ROW).where(F.size("spans") > 0).select(F.col(ROW).alias("_id"), F.col("spans").alias("_spans")), "spans")
-    rows = keyed.join(broadcast_if_small(found), keyed[ROW] == F.col("_id"), "left")
-    text = F.when(F.col("_spans").isNotNull(), secret_scan.redact(F.col("text"), F.col("_spans"))).otherwise(F.col("text"))
-    return _recounted(rows.withColumn("text", text).select(*docs.columns))
-
-
-def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    import public_tokenizers
-
-    space = Workspace(spark, "stage-packing")
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), space, with_ids=True)
-
-
-STAGES = [
-    ("language_id", detect_language),
-    ("minhash_near_dedup", drop_near_duplicates),
-    ("substring_dedup", cut_repeats),
-    ("secret_scan", mask_secrets),
-    ("packing", pack_sequences),
-]
-
-#: SQL cannot express automata, darts, window hashes or a tokenizer; tests compare with a brute-force version.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of the last stage."""
-    space = Workspace(spark, "pipeline")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (name, stage) in enumerate(STAGES):
-        docs = space.write(stage(spark, docs, sf_dir), f"{i}-{name}")
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
