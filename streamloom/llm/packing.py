@@ -6,9 +6,9 @@ the curve.  Documents are sorted by (key, hash of doc_id, doc_id), their tokens
 is cut every `LENGTH` tokens: neighbours on the curve share sequences and nothing is padded but the stream's end,
 which is itself cut into powers of two.
 
-Scale: texts are tokenised once into a table; ranges of the sort key come from a bounded quantile summary, so equal
-keys (copies) are split by the id's hash; the driver sees one token total a range, and each range is numbered from the
-sum of those before it.
+Scale: texts are tokenised once into a table; ranges of the sort key come from a quantile summary, one for `RANGE_BYTES` of ids (at
+least one a shuffle partition), and a row finds its own by bisection; equal keys (copies) are split by the id's hash; the driver
+sees one token total a range, and each range is numbered from the sum of those before it.
 
 Tokens are those of the `tokenizers` library for a model of the "word BPE, lower case, white space dropped" kind: a
 document of letters below U+0180 is cut into pieces and merged in numpy (see _bpe), each distinct piece of a slice once;
@@ -16,7 +16,7 @@ any other document, and any that has the text of an added token (`<|endoftext|>`
 
 Cases: null and empty texts are the end token alone; a document longer than a sequence is cut across several; ties in
 the key go by doc_id; an empty table gives no rows; repeated doc_ids are packed each on its own, and so are rows without
-one, whose id is hashed as 0.
+one, whose id is hashed as 0 (ties among these go by their ids of tokens); extra columns are not read.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._bpe import LONGEST, PairTable, merge_rows
@@ -39,6 +39,8 @@ LENGTH = 2048
 END = 1
 HASHED, AXES, BITS = 64, 3, 10
 SLICE = 1_000_000
+#: Bytes of ids of a range of the curve, beyond as many ranges as there are shuffle partitions.
+RANGE_BYTES = 32 << 20
 PIECE = Polynomial(809)
 LETTER, NUMBER, SPACE, OTHER, FOREIGN = range(5)
 #: Code points below this can be cut here.
@@ -188,7 +190,7 @@ class WordTokenizer:
         """Ids of all documents of a slice and their offsets."""
         docs = len(offsets) - 1
         low, starts, ends, doc, foreign = self.pieces(data, offsets)
-        _, first, inverse = np.unique(PIECE.of_bytes(low, starts, ends), return_index=True, return_inverse=True)
+        first, inverse = distinct_pieces(low, starts, ends)
         ids, counts = self.merge(low, starts[first], ends[first])
         begin = np.concatenate([[0], np.cumsum(counts)])
         n = counts[inverse]
@@ -203,6 +205,20 @@ class WordTokenizer:
         return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
 
 
+def distinct_pieces(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One place of each distinct piece, and of every piece its number therein: grouped by hash, then compared byte by byte."""
+    _, first, inverse = np.unique(PIECE.of_bytes(data, starts, ends), return_index=True, return_inverse=True)
+    size, like = ends - starts, first[inverse]
+    step = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    same = (size == size[like])[np.repeat(np.arange(len(size)), size)]
+    theirs = np.minimum(np.repeat(starts[like], size) + step, len(data) - 1)
+    same &= data[np.repeat(starts, size) + step] == data[theirs]
+    odd = np.unique(np.repeat(np.arange(len(size)), size)[~same])  # of equal hash only: each is told apart by itself
+    inverse = inverse.copy()
+    inverse[odd] = len(first) + np.arange(len(odd))
+    return np.concatenate([first, odd]), inverse
+
+
 _tokenizers: dict[str, WordTokenizer] = {}
 
 
@@ -298,14 +314,22 @@ def tail_cuts(total: int, length: int) -> list[int]:
     return out
 
 
+def range_of(key: Column, bounds: list[int]) -> Column:
+    """How many of the sorted bounds are less than `key`, by bisection."""
+    if not bounds:
+        return F.lit(0)
+    at, steps = F.lit(bounds).cast("array<bigint>"), [1 << i for i in range(len(bounds).bit_length() - 1, -1, -1)]
+    return F.aggregate(F.lit(steps), F.lit(0), lambda n, step: F.when(F.get(at, n + step - 1) < key, n + step).otherwise(n))
+
+
 def pack(docs: DataFrame, path: str, space: Workspace, length: int = LENGTH, with_ids: bool = False) -> DataFrame:
     """One row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and with `with_ids` the ids (array<int>)."""
     spark = docs.sparkSession
     rows = space.write(tokenised(docs, path), "tokens")
-    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = rows.agg(F.sum(F.length("ids"))).first()[0] or 0
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
     bounds = rows.agg(F.percentile_approx("key", [(i + 1) / ranges for i in range(ranges - 1)] or [0.5], 20 * ranges)).first()[0] or []
-    bounds = sorted(set(bounds))
-    part = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]).cast("array<bigint>"), lambda b: b < F.col("key"))) if bounds else F.lit(0)
+    part = range_of(F.col("key"), sorted(set(bounds)))
     rows = rows.withColumn("part", part)
     totals = {r.part: r.n for r in rows.groupBy("part").agg(F.sum("n_ids").alias("n")).collect()}  # one number a range
     base, total = {}, 0
@@ -345,5 +369,5 @@ def pack(docs: DataFrame, path: str, space: Workspace, length: int = LENGTH, wit
             yield pa.RecordBatch.from_arrays(arrays, [*"doc_id start length ids_crc32 doc_tokens sequence_id offset".split(), *["ids"] * with_ids])
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids
-    placed = rows.repartitionById(ranges, "part").sortWithinPartitions("part", "key", "doc_id")
+    placed = rows.repartitionById(ranges, "part").sortWithinPartitions("part", "key", "doc_id", "ids")
     return placed.select("part", "doc_id", "n_ids", "ids").mapInArrow(lean(run), schema)
