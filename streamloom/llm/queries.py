@@ -52,13 +52,25 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents enter as one batch of inserts; its retry changes nothing."""
+    """Totals of all documents, which come unlabelled, are compacted, and then get their languages as revisions (a delete and an insert each).
+
+    Every batch is committed twice, as a retry would; each counts once.
+    """
     import public_tokenizers
 
-    rollup = token_counts.TokenRollup(spark, Workspace(spark, "op6").path)
+    space = Workspace(spark, "op6")
+    rollup = token_counts.TokenRollup(spark, f"{space.path}/rollup")
     counts = token_counts.signed_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, "byte_bpe_50k")
+    counts = space.write(counts, "counts")
+    unlabelled = counts.withColumn("lang", F.lit(None).cast("string"))
+    labelled = counts.where("lang is not null")
+    gone = labelled.select("source", F.lit(None).cast("string").alias("lang"), "tokenizer", (-F.col("n_docs")).alias("n_docs"), (-F.col("n_tokens")).alias("n_tokens"))
+    for _ in range(2):
+        rollup.commit("documents", unlabelled)
+    rollup.compact()
     for _ in range(2):
-        rollup.commit("documents", counts)
+        rollup.commit("documents", unlabelled)
+        rollup.commit("languages", gone.union(labelled))
     return rollup.totals()
 
 

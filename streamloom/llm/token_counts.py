@@ -2,13 +2,14 @@
 
 A change row has a sign: +1 for an inserted document, -1 for a deleted one; a revision is the old text with -1 and the
 new one with +1 in one batch (`revision`).  A batch is reduced to its sums a group (combined before the shuffle, so a
-hot source is no burden) and committed under an id: written aside, then renamed to `deltas/<id>`.  A batch whose id is
-committed already is skipped, so retries count once; a writer that dies before the rename leaves nothing that is read.
+hot source is no burden) and committed under an id: written aside, then renamed to `deltas/<id>` unless that is there.  A batch whose id is
+committed already is skipped, so retries count once (a delta whose id the base holds is not read either); a writer that dies before the rename leaves nothing that is read.
 Totals are the sums of the newest base and the later deltas; `compact` folds them into a new base that remembers the
 ids, again made visible by one rename.
 
 Cases: null source or language is a group of its own; a null or empty text has 0 tokens and counts as a document;
-groups whose documents and tokens cancel out vanish; repeated rows count as often as they come; an empty batch commits.
+groups whose documents and tokens cancel out vanish; repeated rows count as often as they come; an empty batch commits; a text of
+any length is counted whole, a row at a time; ids and extra columns are not read.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,8 +74,15 @@ class TokenRollup:
         return sorted(s.getPath().getName() for s in self._fs.listStatus(path)) if self._fs.exists(path) else []
 
     def _publish(self, staged: str, final: str) -> bool:
+        """One rename that fails where `final` is there already, decided by the file system, not by a look beforehand."""
+        hadoop, gateway = self.spark._jvm.org.apache.hadoop.fs, self.spark.sparkContext._gateway
         self._fs.mkdirs(self._path(final).getParent())
-        if self._fs.exists(self._path(final)) or not self._fs.rename(self._path(staged), self._path(final)):
+        files = hadoop.FileContext.getFileContext(self._fs.getUri(), self.spark._jsc.hadoopConfiguration())
+        try:
+            files.rename(self._path(staged), self._path(final), gateway.new_array(getattr(hadoop, "Options$Rename"), 0))
+        except Py4JJavaError:
+            if not self._fs.exists(self._path(final)):
+                raise
             self._fs.delete(self._path(staged), True)
             return False
         return True
@@ -82,8 +91,7 @@ class TokenRollup:
         names = self._names("base")
         return f"{self.root}/base/{names[-1]}" if names else None
 
-    def _folded(self) -> set[str]:
-        base = self._base()
+    def _folded(self, base: str | None) -> set[str]:
         return {r.id for r in self.spark.read.schema("id string").parquet(f"{base}/ids").collect()} if base else set()  # batch names only
 
     @staticmethod
@@ -91,7 +99,7 @@ class TokenRollup:
         return hashlib.sha256(batch_id.encode()).hexdigest()[:32]
 
     def committed(self, batch_id: str) -> bool:
-        return self._fs.exists(self._path(f"{self.root}/deltas/{self._name(batch_id)}")) or self._name(batch_id) in self._folded()
+        return self._fs.exists(self._path(f"{self.root}/deltas/{self._name(batch_id)}")) or self._name(batch_id) in self._folded(self._base())
 
     def commit(self, batch_id: str, counts: DataFrame) -> bool:
         """Adds a batch of signed counts; False, without evaluating it, if that id is in already."""
@@ -101,29 +109,32 @@ class TokenRollup:
         counts.groupBy(*GROUP).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).write.parquet(staged)
         return self._publish(staged, f"{self.root}/deltas/{self._name(batch_id)}")
 
-    def _all(self) -> tuple[DataFrame, list[str]]:
-        folded = self._folded()
-        later = [n for n in self._names("deltas") if n not in folded]
-        paths = [f"{self.root}/deltas/{n}" for n in later]
-        base = self._base()
-        if base:
-            paths.append(f"{base}/totals")
+    def _all(self) -> tuple[DataFrame, list[str], set[str]]:
+        """Rows that count, the deltas among them, and the ids the base holds, all from one look at base and deltas."""
+        names, base = self._names("deltas"), self._base()  # deltas first: one that is folded meanwhile is in the base that is seen after
+        folded = self._folded(base)
+        later = [n for n in names if n not in folded]
+        paths = [f"{self.root}/deltas/{n}" for n in later] + [f"{base}/totals"] * bool(base)
         if not paths:
-            return self.spark.createDataFrame([], SCHEMA), later
-        return self.spark.read.schema(SCHEMA).parquet(*paths), later
+            return self.spark.createDataFrame([], SCHEMA), later, folded
+        return self.spark.read.schema(SCHEMA).parquet(*paths), later, folded
+
+    @staticmethod
+    def _sums(rows: DataFrame) -> DataFrame:
+        return rows.groupBy(*GROUP).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).where("n_docs <> 0 or n_tokens <> 0")
 
     def totals(self) -> DataFrame:
-        rows, _ = self._all()
-        sums = rows.groupBy(*GROUP).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
-        return sums.where("n_docs <> 0 or n_tokens <> 0")
+        return self._sums(self._all()[0])
 
     def compact(self) -> None:
-        rows, later = self._all()
+        """Folds the deltas seen at the start; one that is committed meanwhile stays a delta."""
+        number = len(self._names("base"))
+        rows, later, folded = self._all()
         if not later:
             return
         staged = f"{self.root}/staging/{uuid.uuid4().hex}"
-        self.totals().write.parquet(f"{staged}/totals")
-        self.spark.createDataFrame([(n,) for n in sorted(self._folded() | set(later))], "id string").coalesce(1).write.parquet(f"{staged}/ids")
-        if self._publish(staged, f"{self.root}/base/{len(self._names('base')):08d}"):
+        self._sums(rows).write.parquet(f"{staged}/totals")
+        self.spark.createDataFrame([(n,) for n in sorted(folded | set(later))], "id string").coalesce(1).write.parquet(f"{staged}/ids")
+        if self._publish(staged, f"{self.root}/base/{number:08d}"):
             for n in later:
                 self._fs.delete(self._path(f"{self.root}/deltas/{n}"), True)
