@@ -5,14 +5,18 @@ language"; parsing a text greedily into such longest matches, a language that fi
 training text of N symbols a phrase costs about log2(N) bits, so `phrases * log2(N) / symbols` estimates the cross
 entropy, comparable between languages with training texts of different length; the smallest wins.
 
-Only the fit uses a sample, with documented bounds: `DOCS_PER_LANGUAGE` labelled rows a language (those of smallest
-hash), `CHARS_PER_DOC` characters of each, from a hashed position.  Every text is scored whole, in numpy: the
-automaton is a table (state x symbol) and all `CHUNK`-symbol pieces of a slice of documents take each step together.
-A phrase ends at a piece's end; all languages pay that alike.
-
-Cases: null, empty and letterless texts give `und` with score 0; languages never seen in training cannot be
-predicted; a tie goes to the smaller language name; with no labelled row every text is `und`; repeated rows and extra
-columns change nothing.
+Only the fit uses a sample, of whole texts: at most `DOCS_PER_LANGUAGE` labelled rows a language, those of smallest hash, texts
+of more than `LONG_TEXT` characters only where a language has too few others.  The automata are built once, on the driver, and
+go to the workers as lists of edges; there they are hash tables of (state, symbol), so their size is that of the sample, however
+many symbols a script has.
+
+Every text is scored whole, in numpy: texts are cut into pieces of `CHUNK` symbols that take each step together, each from the
+start state; then every piece is walked again from the state its predecessor ended in until it meets the walk it has (two walks
+that are in one state agree from there on), and so on until no end changes.  The phrases are those of one walk over the text.
+
+Cases: null, empty and letterless texts give `und` with score 0; languages never seen in training cannot be predicted; a tie goes to
+the smaller language name; with no labelled row every text is `und`; a null doc_id, repeated rows, extra columns and an empty table
+change nothing: each row is judged by its text alone.
 """
 
 from __future__ import annotations
@@ -28,25 +32,24 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from ._cluster import quoted
 from ._columnar import lean
 
-DOCS_PER_LANGUAGE = 96
-CHARS_PER_DOC = 256
+DOCS_PER_LANGUAGE = 32
+LONG_TEXT = 4096
 PARTS = 32
 CHUNK = 192
 SLICE_CHARS = 1_500_000
 BEGUN = np.int32(1 << 30)
 
 
-def training_sample(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", docs_per_language: int = DOCS_PER_LANGUAGE, chars: int = CHARS_PER_DOC) -> dict[str, list[str]]:
-    """At most `docs_per_language` extracts of `chars` characters a language; ranked map-side before the shuffle."""
-    h = F.xxhash64(F.col(key).cast("string"), F.lit(17))
+def training_sample(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", docs_per_language: int = DOCS_PER_LANGUAGE) -> dict[str, list[str]]:
+    """The whole texts of at most `docs_per_language` rows a language; the texts that go on are ranked before they move."""
+    h = F.xxhash64(F.col(key).cast("string"), F.col(text), F.lit(17))
     letters = F.col(text).rlike(r"\p{L}")
-    extract = F.substring(F.col(text), (F.pmod(h, F.greatest(F.length(text) - chars, F.lit(1))) + 1).cast("int"), F.lit(chars))
-    rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & letters).select(F.col(lang).cast("string").alias("l"), h.alias("h"), extract.alias("x"))
+    rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & letters).select(F.col(lang).cast("string").alias("l"), F.struct((F.length(text) > LONG_TEXT).alias("long"), h.alias("h")).alias("h"), F.col(text).alias("x"))
     # First within a part of each language, so that the last ranking sees PARTS * docs_per_language rows a language at most.
-    first = rows.withColumn("r", F.row_number().over(Window.partitionBy("l", F.pmod("h", F.lit(PARTS))).orderBy("h", "x"))).where(F.col("r") <= docs_per_language)
-    ranked = first.withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy("h", "x"))).where(F.col("r") <= docs_per_language)
+    first = rows.withColumn("r", F.row_number().over(Window.partitionBy("l", F.pmod("h.h", F.lit(PARTS))).orderBy("h"))).where(F.col("r") <= docs_per_language)
+    ranked = first.withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy("h"))).where(F.col("r") <= docs_per_language)
     out: dict[str, list[str]] = {}
-    for row in ranked.select("l", "r", "x").collect():  # bounded by the two limits times the number of languages
+    for row in ranked.select("l", "r", "x").collect():  # bounded by the limit times the number of languages
         out.setdefault(row.l, []).append((row.r, row.x))
     return {k: [x for _, x in sorted(v)] for k, v in out.items()}
 
@@ -56,7 +59,7 @@ class Symbols:
 
     def __init__(self, texts: list[str]):
         seen = sorted({c for t in texts for c in t.lower() if c.isalpha() and ord(c) < 65536})
-        self.table = np.zeros(65537, np.int16)
+        self.table = np.zeros(65537, np.int32)
         self.table[65536] = 1
         self.letters = np.zeros(65537, bool)
         for i in range(65536):
@@ -81,8 +84,8 @@ class Symbols:
         return sym[keep], count[bounds], letter[bounds[1:]] > letter[bounds[:-1]]
 
 
-def automaton(symbols: np.ndarray, n_symbols: int) -> np.ndarray:
-    """Suffix automaton as a table: entry (state, symbol) is the next state; marked BEGUN where the symbol begins a phrase (all do in state 0)."""
+def automaton(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Edges (state, symbol, next state) of the suffix automaton; 0 is the start."""
     nxt: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
     for c in symbols.tolist():
@@ -108,26 +111,72 @@ def automaton(symbols: np.ndarray, n_symbols: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[cur] = clone
         last = cur
-    table = np.full((len(nxt), n_symbols), -1, np.int32)
-    for s, row in enumerate(nxt):
-        for c, t in row.items():
-            table[s, c] = t
-    begun = np.where(table[0] < 0, 0, table[0]) | BEGUN
-    table[0] = -1
-    return np.where(table < 0, begun[None, :], table).astype(np.int32)
+    state = np.repeat(np.arange(len(nxt), dtype=np.int32), [len(row) for row in nxt])
+    return state, np.array([c for row in nxt for c in row], np.int32), np.array([t for row in nxt for t in row.values()], np.int32)
+
+
+class Walker:
+    """Steps of many walks at once: the next state, marked BEGUN where the symbol begins a phrase (every one does at the start)."""
+
+    def __init__(self, state: np.ndarray, symbol: np.ndarray, to: np.ndarray, n_symbols: int):
+        self.n = np.int64(n_symbols)
+        self.first = np.full(n_symbols, BEGUN, np.int32)
+        self.first[symbol[state == 0]] = to[state == 0] | BEGUN
+        symbol, to, state = symbol[state > 0], to[state > 0], state[state > 0]
+        keys = state * self.n + symbol
+        bits = max(10, int(len(keys) * 3).bit_length())
+        self.shift, self.size = np.uint64(64 - bits), 1 << bits
+        place = np.full(self.size, -1, np.int64)
+        todo, at = np.arange(len(keys)), self._slot(keys)
+        while len(todo):  # open addressing, all keys at once; of those that want one free place the last gets it
+            free = todo[place[at[todo]] < 0]
+            place[at[free]] = free
+            todo = todo[place[at[todo]] != todo]
+            at[todo] = (at[todo] + 1) & (self.size - 1)
+        self.keys, self.to = np.full(self.size, -1, np.int64), np.zeros(self.size, np.int32)
+        self.keys[at], self.to[at] = keys, to
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def step(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        keys = state * self.n + symbol
+        at = self._slot(keys)
+        got = self.keys[at]
+        hit = got == keys
+        out = np.where(hit, self.to[at], self.first[symbol])
+        more = np.flatnonzero(~hit & (got >= 0))
+        while len(more):
+            at[more] = (at[more] + 1) & (self.size - 1)
+            got = self.keys[at[more]]
+            hit = got == keys[more]
+            out[more[hit]] = self.to[at[more[hit]]]
+            more = more[~hit & (got >= 0)]
+        return out
 
 
 class CrossParser:
-    """Automata of all languages; built where it is used, from the bounded training texts."""
+    """Automata of all languages, from the bounded training texts."""
 
     def __init__(self, sample: dict[str, list[str]]):
         self.languages = sorted(sample)
         self.symbols = Symbols([t for v in sample.values() for t in v])
-        self.tables, self.bits = [], []
+        self.edges, self.bits = [], []
         for name in self.languages:
             text, _, _ = self.symbols.encode([" ".join(sample[name])])
-            self.tables.append(automaton(text, self.symbols.n).ravel())
+            self.edges.append(automaton(text))
             self.bits.append(np.log2(max(len(text), 2)))
+        self._walkers: list[Walker] = []
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_walkers": []}
+
+    @property
+    def walkers(self) -> list[Walker]:
+        """Made where they are used."""
+        if not self._walkers:
+            self._walkers = [Walker(*e, self.symbols.n) for e in self.edges]
+        return self._walkers
 
     def phrases(self, sym: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Phrases of each text in each language (documents x languages)."""
@@ -138,20 +187,45 @@ class CrossParser:
         start = offsets[doc] + order * CHUNK
         size = np.minimum(offsets[doc + 1] - start, CHUNK)
         by = np.argsort(-size, kind="stable")  # longer pieces first: those still running are a prefix
-        start, size, doc = start[by], size[by], doc[by]
         out = np.zeros((len(lengths), len(self.languages)))
         if not len(doc):
             return out
-        running = np.searchsorted(-size, -np.arange(CHUNK), "left")
-        columns = [sym[start[: running[i]] + i].astype(np.int32) for i in range(int(size[0]))]
-        for k, table in enumerate(self.tables):
+        place = np.empty(len(by), np.int64)
+        place[by] = np.arange(len(by))
+        after = np.where(np.append(doc[1:], -1) == doc, np.append(place[1:], -1), -1)[by]  # the piece that goes on where this one ends
+        start, size, doc = start[by], size[by], doc[by]
+        running = np.searchsorted(-size, -np.arange(int(size[0])), "left")
+        columns = [sym[start[:n] + i] for i, n in enumerate(running)]
+        for k, walker in enumerate(self.walkers):
             state = np.zeros(len(doc), np.int32)
-            begun = np.zeros(len(doc), np.int32)
+            walk = []
             for c in columns:
-                n = len(c)
-                t = table[state[:n] * np.int32(self.symbols.n) + c]
-                begun[:n] += t >> 30
-                state[:n] = t & (BEGUN - 1)
+                t = walker.step(state[: len(c)], c)
+                walk.append(t)
+                state[: len(c)] = t & (BEGUN - 1)
+            ended = np.flatnonzero(after >= 0)
+            while len(ended):
+                came = np.argsort(after[ended])
+                at, now = after[ended][came], state[ended][came]
+                changed = []
+                for c, w in zip(columns, walk):
+                    over = np.searchsorted(at, len(c))  # those from here on have no more symbols: their ends are new
+                    changed.append(at[over:])
+                    state[at[over:]] = now[over:]
+                    at, now = at[:over], now[:over]
+                    t = walker.step(now, c[at])
+                    now = t & (BEGUN - 1)
+                    other = now != (w[at] & (BEGUN - 1))
+                    w[at] = t
+                    at, now = at[other], now[other]
+                    if not len(at):
+                        break
+                state[at] = now
+                ended = np.concatenate([*changed, at])
+                ended = ended[after[ended] >= 0]
+            begun = np.zeros(len(doc), np.int32)
+            for t in walk:
+                begun[: len(t)] += t >> 30
             out[:, k] = np.bincount(doc, begun, len(lengths))
         return out
 
@@ -172,11 +246,10 @@ def identify(docs: DataFrame, sample: dict[str, list[str]], key: str = "doc_id",
     columns = [key] if keep is None else keep
     rows = docs.select(*map(quoted, columns), *([] if text in columns else [quoted(text)]))
     schema = StructType([*(f for f in rows.schema if f.name in columns), StructField(names[0], StringType()), StructField(names[1], DoubleType())])
+    parser = CrossParser(sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parser = None
         for batch in batches:
-            parser = parser or CrossParser(sample)
             texts = [t or "" for t in batch.column(text).to_pylist()]
             found, scores, a = [], [], 0
             while a < len(texts):

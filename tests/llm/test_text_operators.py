@@ -173,11 +173,13 @@ def test_language_without_training(frame):
     assert language_id.identify(frame([(1, "abc")]), language_id.training_sample(frame([]))).first().lang_pred == "und"
 
 
-def test_cross_parsing_counts_longest_matches():
-    """The table walk against a search for the longest match at each place."""
+@pytest.mark.parametrize("chunk", [1, 3, 192])
+def test_cross_parsing_counts_longest_matches(chunk, monkeypatch):
+    """The walk in pieces against a search for the longest match at each place."""
+    monkeypatch.setattr(language_id, "CHUNK", chunk)
     sample = {"a": ["the cat sat on the mat"], "b": ["der hund und die katze"]}
     parser = language_id.CrossParser(sample)
-    for t in ("the hund sat", "katzemat", "zzz the", "a"):
+    for t in ("the hund sat", "katzemat", "zzz the", "a", "the cat sat on the mat", "sat on the mat the cat sat on the catze der hund und die kat" * 3):
         sym, cut, _ = parser.symbols.encode([t])
         counts = parser.phrases(sym, cut)[0]
         for k, name in enumerate(parser.languages):
@@ -192,6 +194,30 @@ def test_cross_parsing_counts_longest_matches():
             assert counts[k] == n
 
 
+def test_cross_parsing_of_many_texts_and_symbols(monkeypatch):
+    """Pieces of any length give the phrases of one walk, also with a script of many symbols."""
+    import random
+
+    r = random.Random(5)
+    letters = [chr(0x4E00 + i) for i in range(3000)]
+    han = "".join(r.choice(letters) for _ in range(4000))
+    parser = language_id.CrossParser({"han": [han], "latin": [text(1, 300)]})
+    texts = ["", han[100:900] + han[5:50], text(1, 300)[40:700], "".join(r.choice(letters[:50]) for _ in range(500)), text(2, 200), han]
+    sym, cut, _ = parser.symbols.encode(texts)
+    whole = parser.phrases(sym, cut)
+    assert whole[5][0] == 1 and whole[0].tolist() == [0, 0]
+    for chunk in (1, 7, 100_000):
+        monkeypatch.setattr(language_id, "CHUNK", chunk)
+        assert (parser.phrases(sym, cut) == whole).all()
+
+
+def test_language_sample_has_whole_texts_of_few_rows(spark, frame):
+    long, short = text(1, 3000), text(2, 30)
+    sample = language_id.training_sample(frame([(1, long), (2, short), (None, "a b"), (3, "1 2"), (4, None)]), docs_per_language=2)
+    assert sorted(sample["en"]) == sorted([short, "a b"])
+    assert language_id.training_sample(frame([(1, long)])) == {"en": [long]}
+
+
 # --- secrets ---
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
