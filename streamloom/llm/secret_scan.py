@@ -22,6 +22,7 @@ without one, are scanned each on its own, under a row key (row_keyed); extra col
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -176,6 +177,26 @@ def candidates(index: DataFrame, rules: list[Rule]) -> DataFrame:
 # --- verification ---
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of a value that is computed once, however often it is named (also inside of lambdas)."""
+    return F.transform(F.array(value), use)[0]
+
+
+def running(values: Column, combine: Callable[[Column, Column], Column]) -> Column:
+    """For each element of an int array (>= 0) what those before it combine to, from 0: in blocks of the root of its size, so no long list is copied a step."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+
+    def scan(items: Column, total: Callable[[Column], Column]) -> Column:
+        return F.aggregate(items, start, lambda s, x: F.struct(combine(s["at"], total(x)).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")))
+
+    def by_blocks(v: Column) -> Column:
+        width = F.greatest(F.ceil(F.sqrt(F.size(v))).cast("int"), F.lit(1))
+        blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.size(v) - 1, F.lit(0)), width), lambda low: scan(F.slice(v, low + 1, width), lambda x: x))
+        return bound(blocks, lambda b: F.flatten(F.zip_with(b, scan(b, lambda x: x["at"])["out"], lambda x, at: F.transform(x["out"], lambda y: combine(at, y)))))
+
+    return bound(values, by_blocks)
+
+
 def spans_of(text: Column, rule: Rule) -> Column:
     """Kept matches of a rule in `text` as array<struct<kind, start, end>>, code points, end exclusive."""
     pattern = F.lit(rule.pattern)
@@ -183,18 +204,14 @@ def spans_of(text: Column, rule: Rule) -> Column:
     whole = F.transform(F.regexp_extract_all(text, pattern, F.lit(0)), lambda m: F.length(m))
     value = F.transform(F.regexp_extract_all(text, pattern, F.lit(rule.group)), lambda m: F.length(m)) if rule.group else whole
     kind, least = rule.kind, rule.least
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,size:int>>").alias("out"))
-    steps = F.arrays_zip(gaps.alias("gap"), whole.alias("size"), value.alias("value"))
 
-    def step(s, x):
-        begin = s["at"] + x["gap"]
-        end = begin + F.coalesce(x["size"], F.lit(0))
-        item = F.struct(begin.alias("start"), end.alias("end"), F.coalesce(x["value"], F.lit(-1)).alias("size"))
-        return F.struct(end.alias("at"), F.concat(s["out"], F.array(item)).alias("out"))
+    def placed(steps: Column) -> Column:
+        passed = running(F.transform(steps, lambda x: x["gap"] + F.coalesce(x["size"], F.lit(0))), lambda a, b: a + b)
+        every = F.zip_with(steps, passed, lambda x, at: F.struct((at + x["gap"]).alias("start"), (at + x["gap"] + x["size"]).alias("end"), x["value"].alias("size")))
+        kept = F.filter(every, lambda m: (m["size"] >= least) & (m["end"] > m["start"]))
+        return F.transform(kept, lambda m: F.struct(F.lit(kind).alias("kind"), m["start"].alias("start"), m["end"].alias("end")))
 
-    every = F.aggregate(steps, start, step, lambda s: s["out"])
-    kept = F.filter(every, lambda m: (m["size"] >= least) & (m["end"] > m["start"]))
-    return F.transform(kept, lambda m: F.struct(F.lit(kind).alias("kind"), m["start"].alias("start"), m["end"].alias("end")))
+    return bound(F.arrays_zip(gaps.alias("gap"), whole.alias("size"), value.alias("value")), placed)
 
 
 def scan(docs: DataFrame, space: Workspace, rules: tuple[Rule, ...] = RULES, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -231,12 +248,16 @@ def span_text(spans: Column) -> Column:
 
 
 def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
-    """`text` with the union of the spans (sorted by start) replaced by the mark."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(s, x):
-        fresh = x["start"] >= s["at"]
-        before = F.substring(text, s["at"] + 1, F.greatest(x["start"] - s["at"], F.lit(0)))
-        return F.struct(F.greatest(s["at"], x["end"]).alias("at"), F.when(fresh, F.concat(s["out"], before, F.lit(mark))).otherwise(s["out"]).alias("out"))
-
-    return F.aggregate(spans, start, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
+    """`text` with the union of the spans (sorted by start) replaced by the mark; pieces are cut from four bytes a code point, each at its place."""
+    order_mark = F.unhex(F.lit("0000FEFF"))
+
+    def cut(z: Column) -> Column:
+        piece = lambda start, size: F.decode(F.concat(order_mark, F.substring(z["wide"], start * 4 + 1, size * 4)), "UTF-32")
+        before = running(F.transform(z["spans"], lambda x: x["end"]), F.greatest)
+        met = F.zip_with(z["spans"], before, lambda x, at: F.struct(at.alias("at"), x["start"].alias("start")))
+        fresh = F.filter(met, lambda x: x["start"] >= x["at"])
+        last = F.coalesce(F.array_max(F.transform(z["spans"], lambda x: x["end"])), F.lit(0))
+        tail = piece(last, F.length(z["wide"]))
+        return F.array_join(F.concat(F.transform(fresh, lambda x: piece(x["at"], x["start"] - x["at"])), F.array(tail)), mark)
+
+    return bound(F.struct(F.encode(text, "UTF-32").alias("wide"), spans.alias("spans")), cut)
