@@ -35,7 +35,7 @@ from ._vectors import by_length, matrix, vectors
 
 SAMPLE = 2048
 SLICE = 8192
-MOST_PIVOTS = 256
+MOST_PIVOTS = 4096
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -124,7 +124,8 @@ def near_duplicate_vectors(df: DataFrame, space: Workspace, threshold: float = 0
     eps = math.sqrt(max(0.0, 2 - 2 * threshold))
     rows = space.write(vectors(df, key, column), "vectors")
     n = rows.count()
-    sample = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()
+    most = min(most_pivots, math.ceil(n / slice_rows))
+    sample = rows.orderBy(F.xxhash64("id"), "id").limit(max(SAMPLE, 4 * most)).collect()
     pivots = choose_pivots(sample, n, slice_rows, most_pivots)
     kind = rows.schema["v"].dataType.simpleString()
 
