@@ -7,10 +7,11 @@ N(0, r^2), so each cell around a query has a known success probability; a query
 until their sum reaches the per-table target.  Candidates of all tables are merged and ranked by the exact product.
 
 Fitted on a bounded sample (`SAMPLE` rows): r, the distance within which the sought neighbours of 9 in 10 sampled
-queries lie.  Every row is indexed.  Cells are dealt to shards of about `SHARD` rows by hash; a shard with more is cut
+queries lie.  The number of directions grows with the table as far as the grid of cells within `SPREAD` r of a query stays
+within `GRID` cells; that grid is enumerated whole, and its probabilities sum to more than the target, so every query is answered
+by its probes at any size.  Every row is indexed.  Cells are dealt to shards of about `SHARD` rows by hash; a shard with more is cut
 by vec_id hash and its queries go to all its parts, so a hot cell does not grow a task.  Only the best `k` of a query
-leave a task.  A query that finds fewer than k neighbours is run again over all cells, and tables of up to
-`VISIT_ALL` rows are searched whole.
+leave a task.  A query whose cells hold fewer than k vectors is run again over all cells, which is the exact answer.
 
 Cases: null, empty, zero and non-finite vectors take no part; a query is not its own candidate; ties go to the smaller
 id; with fewer than k candidates all are returned; only candidates of the query's own length count; repeated ids count once.
@@ -35,9 +36,8 @@ TABLES = 2
 TARGET = 0.84
 SAMPLE = 4096
 SHARD = 8192
-VISIT_ALL = 2048
-#: Slots to each side of the query's own that a direction's enumeration holds, and cells kept while directions combine.
-REACH, BEAM = 4, 8192
+#: Cells of the grid around a query, and how far it reaches, in distances r.
+GRID, SPREAD = 65_536, 3.0
 
 
 def normal_cdf(x: np.ndarray) -> np.ndarray:
@@ -55,10 +55,12 @@ class Hashing:
         rng = np.random.default_rng([seed, dim])
         self.norm, self.tables, self.target = norm, tables, target
         self.width = 1.0
-        self.depth = int(np.clip(round(math.log(max(n, 2) / 64) / math.log(5)), 2, 8))
+        self.radius = self._radius(sample, n, k)
+        self.reach = math.ceil(SPREAD * self.radius / self.width)
+        wanted = int(np.clip(round(math.log(max(n, 2) / 64) / math.log(5)), 2, 8))
+        self.depth = max(1, min(wanted, int(math.log(GRID) / math.log(2 * self.reach + 1))))
         self.a = rng.standard_normal((tables, dim + 1, self.depth))
         self.b = rng.random((tables, self.depth)) * self.width
-        self.radius = self._radius(sample, n, k)
 
     def _radius(self, sample: np.ndarray, n: int, k: int) -> float:
         q, x = self.lift(sample[:256], True), self.lift(sample, False)
@@ -91,23 +93,21 @@ class Hashing:
         return self.code(np.floor(self.slots(self.lift(x, False), t)))
 
     def probes(self, q: np.ndarray, t: int) -> list[np.ndarray]:
-        """Cells in falling order of success probability, up to the target; empty: the enumeration does not reach it, visit all."""
+        """Cells in falling order of success probability, up to the target."""
         f = self.slots(self.lift(q, True), t)
-        base = np.floor(f)
-        steps = np.arange(-REACH, REACH + 1)
-        edge = base[:, :, None] + steps
+        steps = np.arange(-self.reach, self.reach + 1)
+        edge = np.floor(f)[:, :, None] + steps
         s = self.width / self.radius
         p = normal_cdf((edge + 1 - f[:, :, None]) * s) - normal_cdf((edge - f[:, :, None]) * s)
+        grid = np.indices((len(steps),) * self.depth).reshape(self.depth, -1)
         out = []
         for i in range(len(q)):
-            mass, cells = np.ones(1), np.zeros((1, 0))
+            mass = np.ones(1)
             for j in range(self.depth):
-                m = (mass[:, None] * p[i, j][None, :]).ravel()
-                keep = np.argsort(-m, kind="stable")[:BEAM]
-                cells = np.concatenate([cells[keep // len(steps)], edge[i, j][keep % len(steps)][:, None]], 1)
-                mass = m[keep]
-            total = np.cumsum(mass)
-            out.append(self.code(cells[: int(np.searchsorted(total, self.target)) + 1]) if total[-1] >= self.target else np.zeros(0, np.int64))
+                mass = np.multiply.outer(mass, p[i, j]).ravel()
+            order = np.argsort(-mass, kind="stable")
+            order = order[: int(np.searchsorted(np.cumsum(mass[order]), self.target)) + 1]
+            out.append(self.code(np.stack([edge[i, j][grid[j, order]] for j in range(self.depth)], 1)))
         return out
 
 
@@ -116,18 +116,17 @@ def shard_of(cells: np.ndarray, shards: int) -> np.ndarray:
     return ((x >> np.uint64(33)) % np.uint64(shards)).astype(np.int32)
 
 
-def search(df: DataFrame, is_query: Column, space: Workspace, k: int = 20, key: str = "vec_id", column: str = "embedding", tables: int = TABLES, target: float = TARGET, visit_all: int = VISIT_ALL) -> DataFrame:
+def search(df: DataFrame, is_query: Column, space: Workspace, k: int = 20, key: str = "vec_id", column: str = "embedding", tables: int = TABLES, target: float = TARGET) -> DataFrame:
     """query_id, rank, vec_id, score; `is_query` is a condition on the column id."""
     spark = df.sparkSession
     rows = space.write(vectors(df, key, column), "vectors")
     norms = rows.select(F.size("v").alias("d"), F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))).alias("n"))
     stats = {r.d: (r.n, r.m) for r in norms.groupBy("d").agg(F.count("*").alias("n"), F.max("n").alias("m")).collect()}
     sample = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()
-    whole = {d: n <= visit_all for d, (n, _) in stats.items()}
     hashing = {}
     for d, (n, norm) in stats.items():
         own = [r.v for r in sample if len(r.v) == d]
-        hashing[d] = Hashing(d, norm, n, np.array(own, np.float64).reshape(len(own), d), k, 1 if whole[d] else tables, target)
+        hashing[d] = Hashing(d, norm, n, np.array(own, np.float64).reshape(len(own), d), k, tables, target)
     shards = {d: max(1, math.ceil(n / SHARD)) for d, (n, _) in stats.items()}
     kind = rows.schema["v"].dataType.simpleString()
 
@@ -145,7 +144,7 @@ def search(df: DataFrame, is_query: Column, space: Workspace, k: int = 20, key:
                 for d, at, x in by_length(batch.column(1)):
                     h = hashing[d]
                     for t in range(1 if everywhere else h.tables):
-                        found = [np.zeros(0, np.int64)] * len(at) if everywhere or whole[d] else h.probes(x, t)
+                        found = [np.zeros(0, np.int64)] * len(at) if everywhere else h.probes(x, t)
                         row, shard, probes = [], [], []
                         for i, cells in enumerate(found):
                             if not len(cells):
@@ -225,8 +224,7 @@ def search(df: DataFrame, is_query: Column, space: Workspace, k: int = 20, key:
     queries = rows.where(is_query)
     found = space.write(run(queries, False), "found")
     distinct = F.count_distinct("vec_id")
-    enough = F.size("v").isin([d for d, w in whole.items() if w])
-    short = queries.where(~enough).join(found.groupBy("query_id").agg(distinct.alias("n")).where(F.col("n") >= k), F.col("id") == F.col("query_id"), "left_anti")
+    short = queries.join(found.groupBy("query_id").agg(distinct.alias("n")).where(F.col("n") >= k), F.col("id") == F.col("query_id"), "left_anti")
     short = space.write(short, "short")
     if short.head(1):
         found = found.union(space.write(run(short, True), "found-all"))

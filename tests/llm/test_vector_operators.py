@@ -67,10 +67,11 @@ def exact(rows, k):
     return out
 
 
-def test_small_tables_are_searched_whole(vectors, space):
+def test_fewer_candidates_than_asked_for_are_all_found(vectors, space):
     df, rows = vectors
+    rows = rows[:20]
     got = {}
-    for r in nearest_neighbours.search(df, F.col("id") % 20 == 0, space, k=20).orderBy("query_id", "rank").collect():
+    for r in nearest_neighbours.search(df.where(F.col("vec_id").isin([i for i, _ in rows])), F.col("id") % 20 == 0, space, k=20).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append(r.vec_id)
     assert got == exact(rows, 20)
 
@@ -78,13 +79,21 @@ def test_small_tables_are_searched_whole(vectors, space):
 def test_multiprobe_recall(vectors, space):
     df, rows = vectors
     got = {}
-    for r in nearest_neighbours.search(df, F.col("id") % 20 == 0, space, k=20, visit_all=0).collect():
+    for r in nearest_neighbours.search(df, F.col("id") % 20 == 0, space, k=20).collect():
         got.setdefault(r.query_id, set()).add(r.vec_id)
     true = exact(rows, 20)
     assert all(len(got[q]) == len(v) for q, v in true.items())
     assert sum(len(got[q] & set(v)) for q, v in true.items()) >= 0.9 * sum(map(len, true.values()))
 
 
+@pytest.mark.parametrize("n", [500, 50_000, 500_000, 5_000_000, 10**9])
+def test_probes_reach_the_target_at_any_size(n):
+    """Spread-out vectors, whatever size the table is said to have: every query has cells of its own, and not all."""
+    x = np.random.default_rng(4).standard_normal((600, 64))
+    h = nearest_neighbours.Hashing(64, float(np.linalg.norm(x, axis=1).max()), n, x, 20, 2, 0.84)
+    assert all(0 < len(c) < (2 * h.reach + 1) ** h.depth <= nearest_neighbours.GRID for c in h.probes(x[:20], 1))
+
+
 def test_no_vectors(vectors, space):
     df, _ = vectors
     assert nearest_neighbours.search(df.limit(0), F.lit(True), space).count() == 0
