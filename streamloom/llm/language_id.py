@@ -7,7 +7,7 @@ entropy, comparable between languages with training texts of different length; t
 
 Only the fit uses a sample, of whole texts: at most `DOCS_PER_LANGUAGE` labelled rows a language, those of smallest hash, texts
 of more than `LONG_TEXT` characters only where a language has too few others.  The automata are built once, on the driver, and
-go to the workers as lists of edges; there they are hash tables of (state, symbol), so their size is that of the sample, however
+go to the workers as lists of edges; there all rows of transitions share one array, so their size is that of the sample, however
 many symbols a script has.
 
 Every text is scored whole, in numpy: texts are cut into pieces of `CHUNK` symbols that take each step together, each from the
@@ -35,7 +35,7 @@ from ._columnar import lean
 DOCS_PER_LANGUAGE = 32
 LONG_TEXT = 4096
 PARTS = 32
-CHUNK = 192
+CHUNK = 768
 SLICE_CHARS = 1_500_000
 BEGUN = np.int32(1 << 30)
 
@@ -45,13 +45,14 @@ def training_sample(docs: DataFrame, text: str = "text", lang: str = "lang", key
     h = F.xxhash64(F.col(key).cast("string"), F.col(text), F.lit(17))
     letters = F.col(text).rlike(r"\p{L}")
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & letters).select(F.col(lang).cast("string").alias("l"), F.struct((F.length(text) > LONG_TEXT).alias("long"), h.alias("h")).alias("h"), F.col(text).alias("x"))
-    # First within a part of each language, so that the last ranking sees PARTS * docs_per_language rows a language at most.
-    first = rows.withColumn("r", F.row_number().over(Window.partitionBy("l", F.pmod("h.h", F.lit(PARTS))).orderBy("h"))).where(F.col("r") <= docs_per_language)
+    # Without their texts, and first within a part of each language, so that the last ranking sees PARTS * docs_per_language rows a language at most.
+    first = rows.select("l", "h").withColumn("r", F.row_number().over(Window.partitionBy("l", F.pmod("h.h", F.lit(PARTS))).orderBy("h"))).where(F.col("r") <= docs_per_language)
     ranked = first.withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy("h"))).where(F.col("r") <= docs_per_language)
-    out: dict[str, list[str]] = {}
-    for row in ranked.select("l", "r", "x").collect():  # bounded by the limit times the number of languages
-        out.setdefault(row.l, []).append((row.r, row.x))
-    return {k: [x for _, x in sorted(v)] for k, v in out.items()}
+    chosen = sorted({r.h for r in ranked.select("h.h").collect()})  # bounded by the limit times the number of languages
+    out: dict[str, list[tuple]] = {}
+    for row in rows.where(F.col("h.h").isin(chosen)).select("l", "h", "x").distinct().collect() if chosen else []:
+        out.setdefault(row.l, []).append((tuple(row.h), row.x))
+    return {k: [x for _, x in sorted(v)[:docs_per_language]] for k, v in out.items()}
 
 
 class Symbols:
@@ -116,43 +117,47 @@ def automaton(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class Walker:
-    """Steps of many walks at once: the next state, marked BEGUN where the symbol begins a phrase (every one does at the start)."""
+    """Steps of many walks at once: the next state, marked BEGUN where the symbol begins a phrase (every one does at the start).
 
-    def __init__(self, state: np.ndarray, symbol: np.ndarray, to: np.ndarray, n_symbols: int):
-        self.n = np.int64(n_symbols)
+    All states' rows lie in one array, each shifted so that no two edges meet (those of many edges placed first, by trying places; a row that
+    finds none gets one at the end); an entry names its state.
+    """
+
+    def __init__(self, state: np.ndarray, symbol: np.ndarray, to: np.ndarray, n_symbols: int, states: int):
         self.first = np.full(n_symbols, BEGUN, np.int32)
         self.first[symbol[state == 0]] = to[state == 0] | BEGUN
         symbol, to, state = symbol[state > 0], to[state > 0], state[state > 0]
-        keys = state * self.n + symbol
-        bits = max(10, int(len(keys) * 3).bit_length())
-        self.shift, self.size = np.uint64(64 - bits), 1 << bits
-        place = np.full(self.size, -1, np.int64)
-        todo, at = np.arange(len(keys)), self._slot(keys)
-        while len(todo):  # open addressing, all keys at once; of those that want one free place the last gets it
-            free = todo[place[at[todo]] < 0]
-            place[at[free]] = free
-            todo = todo[place[at[todo]] != todo]
-            at[todo] = (at[todo] + 1) & (self.size - 1)
-        self.keys, self.to = np.full(self.size, -1, np.int64), np.zeros(self.size, np.int32)
-        self.keys[at], self.to[at] = keys, to
-
-    def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+        edges = np.bincount(state, minlength=states)
+        size = 3 * len(state) + 64
+        self.shift = np.zeros(states, np.int32)
+        self.entry = np.full(size + n_symbols, -1, np.int64)
+        owner = np.full(len(self.entry), -1, np.int64)
+        r = np.random.default_rng(1)
+        for bits in range(int(edges.max(initial=0)).bit_length(), 0, -1):
+            todo, tries = np.flatnonzero(edges[state] >> (bits - 1) == 1), 0
+            while len(todo):
+                own, tries = np.unique(state[todo]), tries + 1
+                if tries <= 50:
+                    self.shift[own] = r.integers(0, size, len(own))
+                else:
+                    self.shift[own] = len(owner) + np.arange(len(own)) * n_symbols
+                    more = np.full(len(own) * n_symbols, -1, np.int64)
+                    owner, self.entry = np.concatenate([owner, more]), np.concatenate([self.entry, more])
+                at = self.shift[state[todo]] + symbol[todo]
+                free = owner[at] < 0
+                owner[at[free]] = state[todo[free]]  # of those that want one place the last gets it
+                lost = np.zeros(states, bool)
+                lost[state[todo[owner[at] != state[todo]]]] = True
+                again = lost[state[todo]]
+                back = at[again & (owner[at] == state[todo])]
+                owner[back] = -1
+                kept = ~again
+                self.entry[at[kept]] = state[todo[kept]].astype(np.int64) << 32 | to[todo[kept]]
+                todo = todo[again]
 
     def step(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-        keys = state * self.n + symbol
-        at = self._slot(keys)
-        got = self.keys[at]
-        hit = got == keys
-        out = np.where(hit, self.to[at], self.first[symbol])
-        more = np.flatnonzero(~hit & (got >= 0))
-        while len(more):
-            at[more] = (at[more] + 1) & (self.size - 1)
-            got = self.keys[at[more]]
-            hit = got == keys[more]
-            out[more[hit]] = self.to[at[more[hit]]]
-            more = more[~hit & (got >= 0)]
-        return out
+        got = self.entry[self.shift[state] + symbol]
+        return np.where(got >> 32 == state, got.astype(np.int32), self.first[symbol])
 
 
 class CrossParser:
@@ -175,7 +180,7 @@ class CrossParser:
     def walkers(self) -> list[Walker]:
         """Made where they are used."""
         if not self._walkers:
-            self._walkers = [Walker(*e, self.symbols.n) for e in self.edges]
+            self._walkers = [Walker(*e, self.symbols.n, int(e[2].max(initial=0)) + 1) for e in self.edges]
         return self._walkers
 
     def phrases(self, sym: np.ndarray, offsets: np.ndarray) -> np.ndarray:
