@@ -5,6 +5,7 @@ Times leave as microseconds since 1970 (``*_us``) and sums rounded, so that resu
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from datetime import datetime, timedelta, timezone
 
@@ -254,6 +255,19 @@ def join_enriched(spark, d):
     return bought.join_latest(b.source(data=users, key="user_id"), "inner").select(F.col("l.event_id"), F.col("l.user_id"), F.col("r.c_name").alias("name"), F.col("r.c_mktsegment").alias("segment")).df
 
 
+@query("join_enriched_1h", """WITH u AS (SELECT user_id, min(ts) AS ts FROM events GROUP BY user_id)
+SELECT e.event_id, e.user_id, c.c_name AS name, c.c_mktsegment AS segment FROM events e JOIN u USING (user_id) JOIN customer c ON c.c_custkey = e.user_id
+WHERE e.event_type = 'purchase' AND abs(epoch_us(e.ts) - epoch_us(u.ts)) <= 3600000000""")
+def join_enriched_1h(spark, d):
+    """Purchases and the profile that their user opened (with the first event) within an hour of them."""
+    e = io.events(spark, d)
+    profiles = io.table(spark, d, "customer").select(F.col("c_custkey").alias("user_id"), "c_name", "c_mktsegment")
+    users = e.groupBy("user_id").agg(F.min("ts").alias("ts")).join(profiles, "user_id")
+    b = StreamBuilder()
+    bought = b.source(data=e.where("event_type = 'purchase'"), key="user_id")
+    return bought.inner_join(b.source(data=users, key="user_id"), HOUR).select(F.col("l.event_id"), F.col("l.user_id"), F.col("r.c_name").alias("name"), F.col("r.c_mktsegment").alias("segment")).df
+
+
 @query("join_latest", """WITH c AS (SELECT user_id, arg_max(event_id, (ts, event_id)) AS click_id FROM events WHERE event_type = 'click' GROUP BY user_id)
 SELECT p.event_id AS purchase_id, c.click_id FROM events p LEFT JOIN c USING (user_id) WHERE p.event_type = 'purchase'""")
 def join_latest(spark, d):
@@ -332,15 +346,8 @@ def log_append(spark, d):
     return L.append(e, ["ts", "event_id"], ends).select("event_id", F.col("offset").cast("long"))
 
 
-@query("snapshot_surplus", "SELECT o_orderkey AS name FROM (SELECT *, row_number() OVER (ORDER BY epoch_ms(o_orderdate) DESC, o_orderkey) AS r FROM orders WHERE o_orderkey < 200) WHERE epoch_ms(o_orderdate) < epoch_ms(TIMESTAMP '1996-01-01') OR r > 10")
+@query("snapshot_surplus", "SELECT o_orderkey AS name FROM (SELECT *, row_number() OVER (ORDER BY epoch_ms(o_orderdate) DESC, o_orderkey) AS r FROM orders) WHERE epoch_ms(o_orderdate) < epoch_ms(TIMESTAMP '1996-01-01') OR r > 10")
 def snapshot_surplus(spark, d):
-    o = io.table(spark, d, "orders").where("o_orderkey < 200").select(F.col("o_orderkey").alias("name"), (us("o_orderdate") / 1000).cast("long").alias("created_ms"))
-    return L.surplus(o, 820454400000 + 1, 1, 10).select("name")
-
-
-@query("snapshot_surplus_all", "SELECT o_orderkey AS name FROM (SELECT *, row_number() OVER (ORDER BY epoch_ms(o_orderdate) DESC, o_orderkey) AS r FROM orders) WHERE epoch_ms(o_orderdate) < epoch_ms(TIMESTAMP '1996-01-01') OR r > 10")
-def snapshot_surplus_all(spark, d):
-    """snapshot_surplus over every order, not those with a key below 200 alone."""
     o = io.table(spark, d, "orders").select(F.col("o_orderkey").alias("name"), (us("o_orderdate") / 1000).cast("long").alias("created_ms"))
     return L.surplus(o, 820454400000 + 1, 1, 10).select("name")
 
@@ -350,9 +357,14 @@ def entry_sizes(spark, d):
     return io.events(spark, d).select("event_id", S.entry_size(F.col("event_type"), F.col("props")).alias("bytes"))
 
 
-@query("choose_partition")
+def crc_sql(text: str) -> str:
+    """CRC-32 of ASCII text, folded byte by byte: each byte is mixed in, then eight shifts (-1) by the reversed polynomial."""
+    steps = f"flatten(list_transform(range(1, length({text}) + 1), lambda i: [ascii(({text})[i])::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))"
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], {steps}), lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END), 4294967295)"
+
+
+@query("choose_partition", f"SELECT event_id, {crc_sql('user_id::VARCHAR')} % 8 AS partition, {crc_sql('user_id::VARCHAR || event_type')} AS crc32 FROM events")
 def choose_partition(spark, d):
-    """CRC-32 has no counterpart in the SQL engine; tests compare with zlib."""
     key = F.col("user_id").cast("string")
     return io.events(spark, d).select("event_id", S.choose_partition(key, 8).alias("partition"), S.entry_crc(key, F.col("event_type")).alias("crc32"))
 
@@ -526,6 +538,17 @@ def alert_routes(spark, d):
     return AL.route(alert_rows(spark, d), [("pager", {"kind": "error"}, ["kind", "user"]), ("web", {"kind": "click"}, [])]).select("id", "receiver", "group_key")
 
 
+@query("alert_routes_regex", f"SELECT id, CASE WHEN severity = 'critical' AND regexp_full_match(event_type, 'err.*') THEN 'pager' WHEN regexp_full_match(event_type, 'c.*|p.*') THEN 'web' ELSE 'default' END AS receiver FROM {ALERT_SQL}")
+def alert_routes_regex(spark, d):
+    rows = alert_rows(spark, d).withColumn("alert_labels", F.map_concat("alert_labels", F.create_map(F.lit("severity"), F.col("severity"))))
+    return AL.route(rows, [("pager", {"severity": "critical", "kind": re.compile("err.*")}, []), ("web", {"kind": re.compile("c.*|p.*")}, [])]).select("id", "receiver")
+
+
+@query("alert_emails", f"SELECT severity, 'To: a@x.org,b@x.org' || chr(13) || chr(10) || 'Subject: Alert Notification - ' || count(*) || ' alerts' || chr(13) || chr(10) || chr(13) || chr(10) || string_agg(line, chr(10) ORDER BY line) AS message FROM (SELECT severity, '[' || upper(severity) || '] Latest value=' || printf('%.2f', value) || ' since ' || strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS line FROM {ALERT_SQL}) GROUP BY severity")
+def alert_emails(spark, d):
+    return AL.email(alert_rows(spark, d), ["severity"], ["a@x.org", "b@x.org"])
+
+
 @query("alert_unexpired", f"SELECT id FROM {ALERT_SQL} WHERE NOT (status = 'inactive' AND ts + INTERVAL '1 hour' + INTERVAL '5 minutes' < TIMESTAMP '2024-01-30')")
 def alert_unexpired(spark, d):
     return AL.unexpired(alert_rows(spark, d), F.lit("2024-01-30").cast("timestamp")).select("id")
@@ -740,15 +763,9 @@ _resolved("priority", f"CASE WHEN lp > 0 AND rp > 0 THEN CASE WHEN lp > rp THEN
 _resolved("vector_clock", "CASE WHEN la < ra AND lb > rb THEN 'remote' WHEN la < ra THEN 'remote' END", "CASE WHEN la < ra AND lb > rb THEN 0.5 ELSE 0.9 END")
 
 
-@query("vector_clock_cmp", f"SELECT event_id, CASE WHEN (la < ra OR lb < rb) AND (la > ra OR lb > rb) THEN 'concurrent' WHEN la < ra OR lb < rb THEN 'before' WHEN la > ra OR lb > rb THEN 'after' ELSE 'equal' END AS ordering FROM {VERSIONS_SQL} WHERE event_id % 5 <> 4")
+@query("vector_clock_cmp", f"SELECT event_id, CASE WHEN event_id % 5 = 4 THEN 'equal' WHEN (la < ra OR lb < rb) AND (la > ra OR lb > rb) THEN 'concurrent' WHEN la < ra OR lb < rb THEN 'before' WHEN la > ra OR lb > rb THEN 'after' ELSE 'equal' END AS ordering FROM {VERSIONS_SQL}")
 def vector_clock_cmp(spark, d):
-    v = versions(spark, d).where("event_id % 5 <> 4")
-    return v.select("event_id", S.compare_clocks(S.vector_clock(F.col("local.headers")), S.vector_clock(F.col("remote.headers"))).alias("ordering"))
-
-
-@query("vector_clock_cmp_all", f"SELECT event_id, CASE WHEN event_id % 5 = 4 THEN 'equal' WHEN (la < ra OR lb < rb) AND (la > ra OR lb > rb) THEN 'concurrent' WHEN la < ra OR lb < rb THEN 'before' WHEN la > ra OR lb > rb THEN 'after' ELSE 'equal' END AS ordering FROM {VERSIONS_SQL}")
-def vector_clock_cmp_all(spark, d):
-    """vector_clock_cmp over every event; where event_id % 5 = 4 both clocks are empty."""
+    """Where event_id % 5 = 4 both clocks are empty."""
     return versions(spark, d).select("event_id", S.compare_clocks(S.vector_clock(F.col("local.headers")), S.vector_clock(F.col("remote.headers"))).alias("ordering"))
 
 
@@ -819,6 +836,29 @@ def stream_join(spark, d):
     return runtime.drain(joined.select(F.col("l_event_id").alias("purchase_id"), F.col("r_event_id").alias("click_id")).df, "join")
 
 
+#: A row without partner leaves a stream once the watermark (the slower side's) is past every time a partner could have.
+OPEN_SQL = """SELECT purchase_id, click_id FROM (WITH p AS (SELECT * FROM events WHERE event_type = 'purchase'), c AS (SELECT * FROM events WHERE event_type = 'click'),
+w AS (SELECT least((SELECT max(ts) FROM p), (SELECT max(ts) FROM c)) - INTERVAL '10 seconds' - INTERVAL '1 day' AS seen)
+SELECT p.event_id AS purchase_id, c.event_id AS click_id, coalesce(p.ts, c.ts) AS ts, seen FROM p {} JOIN c ON p.user_id = c.user_id AND abs(epoch_us(p.ts) - epoch_us(c.ts)) <= 86400000000 CROSS JOIN w)
+WHERE (purchase_id IS NOT NULL AND click_id IS NOT NULL) OR ts < seen"""
+
+for _how in ("left", "right", "full"):
+    query(f"stream_join_{_how}_24h", OPEN_SQL.format(_how))(
+        lambda spark, d, how=_how: runtime.drain(purchases_clicks(spark, d, how, io.events_stream(spark, d)).select(F.col("l_event_id").alias("purchase_id"), F.col("r_event_id").alias("click_id")).df, "join")
+    )
+
+
+@query("stream_count_trigger", "SELECT user_id AS key, r AS running_count FROM (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events) WHERE r >= 3")
+def stream_count_trigger(spark, d):
+    """A stateful processor by key: every row from the third of a user on."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", runtime.ROCKSDB)
+    try:
+        s = StreamBuilder().source(data=io.events_stream(spark, d).select("user_id", "value"), key="user_id").process(runtime.CountTriggerProcessor(3, "value"), "key long, running_count long, running_sum double")
+        return runtime.drain(s.df, "processor").select("key", "running_count")
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+
+
 @query("stream_session_count", SESSION_SQL.replace("SELECT user_id, epoch_us(min(ts)) AS start_us, epoch_us(max(ts)) AS end_us, count(*) AS n, round(sum(value), 4) AS total FROM s GROUP BY user_id, session", "SELECT user_id, epoch_us(min(ts)) AS start_us, count(*) AS n FROM s GROUP BY user_id, session HAVING max(ts) + INTERVAL '30 minutes' <= (SELECT max(ts) - INTERVAL '10 seconds' FROM events)"))
 def stream_session(spark, d):
     s = StreamBuilder().source(data=io.events_stream(spark, d), key="user_id").watermark().session_window(MINUTES_30).count()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -82,14 +84,15 @@ def colour(alerts: DataFrame, by: list[str] | None = None) -> DataFrame:
     return alerts.groupBy(*(by or [])).agg(F.when(top == 4, "danger").when(top >= 2, "warning").otherwise("good").alias("colour"))
 
 
-def route(alerts: DataFrame, routes: list[tuple[str, dict[str, str], list[str]]], labels: str = "alert_labels") -> DataFrame:
-    """receiver and group_key of the first route (receiver, labels that must be equal, grouping labels) that matches; else `default`, grouped by alertname."""
+def route(alerts: DataFrame, routes: list[tuple[str, dict[str, str | re.Pattern], list[str]]], labels: str = "alert_labels") -> DataFrame:
+    """receiver and group_key of the first route (receiver, labels that must be equal or match an expression whole, grouping labels) that matches; else `default`, grouped by alertname."""
     named = merge_labels(F.create_map(F.lit("alertname"), F.col("rule")), F.col(labels))
     receiver, key = F.lit("default"), group_key(F.col("_l"), ["alertname"])
     for name, match, by in reversed(routes):
         hit = F.lit(True)
         for k, v in match.items():
-            hit = hit & F.coalesce(F.col("_l")[k] == v, F.lit(False))
+            own = F.col("_l")[k]
+            hit = hit & F.coalesce(own.rlike(f"^(?:{v.pattern})$") if isinstance(v, re.Pattern) else own == v, F.lit(False))
         receiver, key = F.when(hit, F.lit(name)).otherwise(receiver), F.when(hit, group_key(F.col("_l"), by)).otherwise(key)
     return alerts.withColumn("_l", named).withColumn("receiver", receiver).withColumn("group_key", key).drop("_l")
 
@@ -125,6 +128,14 @@ def notification_text(alerts: DataFrame) -> DataFrame:
     return alerts.withColumn("line", line)
 
 
+def email(alerts: DataFrame, keys: list[str], to: list[str], subject: str | None = None) -> DataFrame:
+    """A mail message a group: recipients, subject (by default how many alerts there are) and the lines of its alerts."""
+    title = F.format_string("Alert Notification - %d alerts", F.count("*")) if subject is None else F.lit(subject)
+    text = F.array_join(F.sort_array(F.collect_list("line")), "\n")
+    head = F.concat(F.lit(f"To: {','.join(to)}\r\nSubject: "), title, F.lit("\r\n\r\n"))
+    return notification_text(alerts).groupBy(*keys).agg(F.concat(head, text).alias("message"))
+
+
 def payload(alerts: DataFrame, keys: list[str]) -> DataFrame:
     """A JSON body a group, for a webhook called from foreachBatch."""
     body = F.struct("rule", "severity", "status", "value", "starts_at")

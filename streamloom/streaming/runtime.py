@@ -17,8 +17,10 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; /tmp/checkpoints only where there is none."""
+    """spark.checkpoint.dir of the session; without one a folder under /tmp where driver and executors are one process, an error elsewhere."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not root and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
     return (root or "/tmp/checkpoints").rstrip("/")
 
 

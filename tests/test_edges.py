@@ -261,7 +261,7 @@ def test_every_order_is_ranked(spark):
     orders = catalog.io.table(spark, d, "orders").select("o_orderkey", F.unix_millis(F.col("o_orderdate").cast("timestamp")).alias("ms")).collect()
     ranked = sorted(orders, key=lambda r: (-r.ms, r.o_orderkey))
     want = {r.o_orderkey for i, r in enumerate(ranked) if r.ms < 820454400000 or i >= 10}
-    got = [r.name for r in catalog.QUERIES["snapshot_surplus_all"](spark, d).collect()]
+    got = [r.name for r in catalog.QUERIES["snapshot_surplus"](spark, d).collect()]
     assert len(got) == len(want) and set(got) == want and max(got) >= 200
 
 
@@ -269,7 +269,7 @@ def test_every_event_has_its_clocks_compared(spark):
     from streamloom import catalog
 
     d = "/root/testdata/sf0.001"
-    got = {r.event_id: r.ordering for r in catalog.QUERIES["vector_clock_cmp_all"](spark, d).collect()}
+    got = {r.event_id: r.ordering for r in catalog.QUERIES["vector_clock_cmp"](spark, d).collect()}
     ids = [r.event_id for r in catalog.io.events(spark, d).select("event_id").collect()]
     assert sorted(got) == sorted(ids)
     empty = [got[i] for i in ids if i % 5 == 4]
