@@ -28,7 +28,7 @@ def origin_offset(d: timedelta) -> timedelta:
 
 def split_words(text: Column) -> Column:
     """Words between spaces, tabs and line feeds (no other white space), case kept, no empty ones; null gives null."""
-    return F.filter(F.split(text, "[ \\t\\n]+"), lambda w: w != "")
+    return F.array_remove(F.split(F.translate(text, "\t\n", "  "), " "), "")  # one literal character: no regular expression, no lambda
 
 
 def choose_partition(key: Column, partitions: Column | int) -> Column:
