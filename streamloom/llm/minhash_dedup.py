@@ -17,7 +17,10 @@ those are compared block against block inside tasks, without becoming rows.  So
 or already joined: none is given up.  Verification compares whole shingle multisets.
 
 Cases: null texts and texts without words are in no group and are kept; 1 to 4 words make one shingle; the smallest
-doc_id of a group is kept; an empty table gives an empty result; extra columns are not touched.
+doc_id of a group is kept; an empty table gives an empty result; extra columns are not touched.  Rows without a doc_id are left
+out, and rows that share one are one document, near to whatever any of its texts is near to: a caller whose ids are not
+unique passes a row key (row_keyed), as the pipeline does.  Very long texts: signatures cost the shingles of a text; two texts
+are compared as sorted lists of hashes.
 """
 
 from __future__ import annotations

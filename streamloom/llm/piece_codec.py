@@ -10,7 +10,8 @@ Whatever is not in the vocabulary goes as bytes, among it a literal U+2581 (the
 therefore gives back every text exactly.
 
 Cases: a null text stays null in `decode(encode)` and has no ids; an empty text has no ids and decodes to the empty one;
-segments of any length are merged whole; repeated rows with one doc_id are segmented alike.
+segments of any length are merged whole; repeated rows with one doc_id are segmented alike, rows without one as doc_id 0; an empty
+table gives no rows; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -141,7 +142,7 @@ def encode(docs: DataFrame, path: str, seed: int = 0, rate: float = 0.0) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
         for batch in batches:
-            doc_ids = np.asarray(batch.column(0))
+            doc_ids = np.asarray(batch.column(0).fill_null(0))
             missing = np.asarray(batch.column(1).is_null())
             for a, b, data, offsets in text_slices(batch.column(1), SLICE):
                 raw = data.tobytes()
@@ -149,7 +150,7 @@ def encode(docs: DataFrame, path: str, seed: int = 0, rate: float = 0.0) -> Data
                 lists = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(ids), mask=pa.array(missing[a:b]))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists], ["doc_id", "ids"])
 
-    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), "doc_id long, ids array<int>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -174,7 +175,7 @@ def digests(docs: DataFrame, path: str, seed: int, rate: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
         for batch in batches:
-            doc_ids = np.asarray(batch.column(0))
+            doc_ids = np.asarray(batch.column(0).fill_null(0))
             for a, b, data, offsets in text_slices(batch.column(1), SLICE):
                 raw = data.tobytes()
                 texts = [raw[x:y] for x, y in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
@@ -183,4 +184,4 @@ def digests(docs: DataFrame, path: str, seed: int, rate: float) -> DataFrame:
                 same = [x == y for x, y in zip(m.decode(ids, cut), texts)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.diff(cut)), pa.array(crc, pa.int64()), pa.array(same)], ["doc_id", "n_ids", "ids_crc32", "lossless"])
 
-    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), "doc_id long, n_ids long, ids_crc32 long, lossless boolean")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), "doc_id long, n_ids long, ids_crc32 long, lossless boolean")
