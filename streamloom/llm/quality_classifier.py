@@ -10,7 +10,8 @@ features.  Class totals count all labelled rows.  Every text is scored whole.
 
 Cases: null and empty texts have no features and get the score of the intercept; with labels of one class only the
 score is that class's share (1 or 0); without any label it is 0.5; a document labelled twice counts twice; null labels and ids
-are ignored.
+are ignored in the fit, and a row without a doc_id is scored as any other; rows that share a doc_id or a text are each scored by their
+own text; extra columns are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
