@@ -32,11 +32,15 @@ def quoted(name: str) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share; only where the session names none (tests) one under /tmp is set."""
+    """The folder all executors share; where the session names none, one under /tmp if driver and executors are one process, else an error."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not root:
         jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        root = jdir.get() if jdir.isDefined() else "/tmp/checkpoints"
+        root = jdir.get() if jdir.isDefined() else None
+    if not root:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
+        root = "/tmp/checkpoints"
     return root.rstrip("/")
 
 

@@ -15,7 +15,8 @@ Cost: on vectors spread evenly over many dimensions (eps wide against the spread
 join nears all pairs in blocks; on clustered vectors cells stay small.
 
 Cases: null, empty, zero and non-finite vectors, or such with null components, link with nothing and are their own
-component; vectors of different length do not link; repeated vec_ids count once; an empty table gives no rows.
+component; vectors of different length do not link; repeated vec_ids count once; rows without a vec_id
+are left out; extra columns are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations

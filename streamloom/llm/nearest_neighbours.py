@@ -14,7 +14,8 @@ by vec_id hash and its queries go to all its parts, so a hot cell does not grow
 leave a task.  A query whose cells hold fewer than k vectors is run again over all cells, which is the exact answer.
 
 Cases: null, empty, zero and non-finite vectors take no part; a query is not its own candidate; ties go to the smaller
-id; with fewer than k candidates all are returned; only candidates of the query's own length count; repeated ids count once.
+id; with fewer than k candidates all are returned; only candidates of the query's own length count; repeated ids count once,
+rows without one take no part; extra columns are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
