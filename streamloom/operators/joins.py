@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import interval, micros
+from .running import running
 
 
 def _near(l_ts: Column, r_ts: Column, within: timedelta) -> Column:
@@ -28,10 +29,6 @@ def interval_join(left: DataFrame, right: DataFrame, left_key: str, right_key: s
         l, r = left.alias("l"), right.alias("r")
         on = (F.col(f"l.{left_key}") == F.col(f"r.{right_key}")) & _near(F.col(f"l.{left_ts}"), F.col(f"r.{right_ts}"), within)
         return l.join(r, on, how).select(*[F.col(f"l.{c}").alias(f"l_{c}") for c in left.columns], *[F.col(f"r.{c}").alias(f"r_{c}") for c in right.columns])
-    if how == "full":
-        both = interval_join(left, right, left_key, right_key, within, "left", left_ts, right_ts)
-        alone = interval_join(left, right, left_key, right_key, within, "right", left_ts, right_ts).where("l is null")
-        return both.union(alone)
     size = max(1, micros(within))
 
     def slot(ts: str) -> Column:
@@ -44,10 +41,15 @@ def interval_join(left: DataFrame, right: DataFrame, left_key: str, right_key: s
         slots = F.array(slot(ts) - 1, slot(ts), slot(ts) + 1)
         return df.select(F.struct(*df.columns).alias(name), F.col(key).alias(f"{name}_key"), F.col(ts).alias(f"{name}_ts"), F.explode(slots).alias(f"{name}_slot"))
 
-    l = (spread if how == "right" else fixed)(left, left_key, left_ts, "l")
-    r = (fixed if how == "right" else spread)(right, right_key, right_ts, "r")
     on = (F.col("l_key") == F.col("r_key")) & (F.col("l_slot") == F.col("r_slot")) & _near(F.col("l_ts"), F.col("r_ts"), within)
-    return l.join(r, on, how).select("l", "r")
+    if how in ("inner", "left", "full"):
+        out = fixed(left, left_key, left_ts, "l").join(spread(right, right_key, right_ts, "r"), on, "inner" if how == "inner" else "left").select("l", "r")
+        if how != "full":
+            return out
+        # Right rows without a partner: only the left side's keys and times move again.
+        alone = fixed(right, right_key, right_ts, "r").join(spread(left, left_key, left_ts, "l").drop("l"), on, "left_anti")
+        return out.unionByName(alone.select("r"), allowMissingColumns=True)
+    return spread(left, left_key, left_ts, "l").join(fixed(right, right_key, right_ts, "r"), on, "right").select("l", "r")
 
 
 def latest(df: DataFrame, key: str, order: list[str]) -> DataFrame:
@@ -62,14 +64,15 @@ def latest_join(left: DataFrame, right: DataFrame, key: str, order: list[str], h
 
 
 def as_of_join(left: DataFrame, right: DataFrame, key: str, ts: str = "ts", value: str = "value") -> DataFrame:
-    """Left rows with `as_of`: the right value at or before their time; one sort of both sides together, no range join."""
-    from pyspark.sql import Window as W
-
-    both = left.select(key, ts, F.struct(*left.columns).alias("l"), F.lit(None).cast(right.schema[value].dataType).alias("v"), F.lit(1).alias("side")).union(
-        right.select(key, ts, F.lit(None).cast(left.select(F.struct(*left.columns)).schema[0].dataType), F.col(value), F.lit(0))
-    )
-    w = W.partitionBy(key).orderBy(ts, "side").rowsBetween(W.unboundedPreceding, 0)
-    return both.withColumn("as_of", F.last("v", ignorenulls=True).over(w)).where("side = 1").select("l.*", "as_of")
+    """Left rows with `as_of`: the right value at or before their time (its last one that is not null); no range join.
+
+    Both sides are sorted together, block by block of time, with the last value before a block in front of it.
+    """
+    row = F.struct(*left.columns)
+    r = right.select(key, ts, F.lit(0).alias("_right_first"), F.col(value).alias("_v"))
+    both = left.select(key, ts, F.lit(1).alias("_right_first"), row.alias("l")).unionByName(r, allowMissingColumns=True)
+    out = running(both, [key], [ts, "_right_first"], as_of=("last", F.col("_v")))
+    return out.where("_right_first = 1").select("l.*", "as_of")
 
 
 def member_of(df: DataFrame, members: DataFrame, on: list[str]) -> DataFrame:

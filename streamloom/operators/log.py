@@ -9,14 +9,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalar import entry_crc, entry_size, interval
+from .running import running
 
 PARTITION = ["topic", "partition"]
 
 
 def assign_offsets(df: DataFrame, order: list[str], base: Column | int = 0, partition: list[str] = PARTITION) -> DataFrame:
-    """Dense offsets within each partition, from `base`."""
+    """Dense offsets within each partition, from `base`; a partition is counted in blocks of its order, not in one task."""
     base = F.lit(base) if isinstance(base, int) else base
-    return df.withColumn("offset", F.row_number().over(W.partitionBy(*partition).orderBy(*order)) - 1 + base.cast("long"))
+    return running(df, partition, order, offset=("count", None)).withColumn("offset", F.col("offset") - 1 + base.cast("long"))
 
 
 def append(batch: DataFrame, order: list[str], ends: DataFrame | None = None, now: Column | None = None) -> DataFrame:
@@ -44,8 +45,8 @@ def read(log: DataFrame, offset: int, max_bytes: int | None = None, max_offset:
     size = entry_size(F.col("key"), F.col("value")) if size is None else size
     w = W.partitionBy(*partition).orderBy("offset")
     near = rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= max_bytes // 24 + 1)
-    running = F.sum(size).over(w.rowsBetween(W.unboundedPreceding, 0))
-    return near.withColumn("_bytes", running).where((F.col("_bytes") <= max_bytes) | (F.col("_n") == 1)).drop("_bytes", "_n")
+    total = F.sum(size).over(w.rowsBetween(W.unboundedPreceding, 0))
+    return near.withColumn("_bytes", total).where((F.col("_bytes") <= max_bytes) | (F.col("_n") == 1)).drop("_bytes", "_n")
 
 
 def in_range(log: DataFrame, offset: int, partition: list[str] = PARTITION) -> DataFrame:

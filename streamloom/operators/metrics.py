@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .running import running
+
 #: Default bounds in seconds, and message sizes in bytes.
 DEFAULT_BUCKETS = (0.001, 0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0)
 SIZE_BUCKETS = (100, 1024, 10 * 1024, 100 * 1024, 1024 * 1024, 10 * 1024 * 1024)
@@ -33,7 +35,7 @@ def gauge(df: DataFrame, keys: list[str], value: str, order: list[str]) -> DataF
 
 def gauge_deltas(df: DataFrame, keys: list[str], delta: str, order: list[str]) -> DataFrame:
     """Values after each addition or subtraction."""
-    return df.withColumn("value_after", F.sum(delta).over(W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)))
+    return running(df, keys, order, value_after=("sum", F.col(delta)))
 
 
 def timer(df: DataFrame, keys: list[str], nanos: str) -> DataFrame:
@@ -54,9 +56,9 @@ def timer_percentiles(df: DataFrame, keys: list[str], value: str, order: list[st
 
 def rates(df: DataFrame, keys: list[str], value: str, ts: str) -> DataFrame:
     """Change per second against the row before; null for the first row and where no time has passed."""
-    w = W.partitionBy(*keys).orderBy(ts)
-    seconds = (F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.lag(ts).over(w).cast("timestamp"))) / 1e6
-    return df.withColumn("rate", F.when(seconds > 0, (F.col(value) - F.lag(value).over(w)) / seconds))
+    rows = running(df, keys, [ts], exclusive=True, _before=("last", F.struct(F.col(ts).alias("t"), F.col(value).alias("v"))))
+    seconds = (F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.col("_before.t").cast("timestamp"))) / 1e6
+    return rows.withColumn("rate", F.when(seconds > 0, (F.col(value) - F.col("_before.v")) / seconds)).drop("_before")
 
 
 def balance_score(df: DataFrame, count: str, by: list[str] | None = None) -> DataFrame:

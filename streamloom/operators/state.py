@@ -9,10 +9,10 @@ from __future__ import annotations
 from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalar import interval
+from .running import running
 
 
 def put(state: DataFrame, changes: DataFrame, key: str = "key") -> DataFrame:
@@ -39,8 +39,8 @@ def delete_expired(state: DataFrame, watermark: Column, retention: timedelta = t
 
 def merge_sessions(sessions: DataFrame, keys: list[str], gap: timedelta, updated: str = "updated", value: str = "value") -> DataFrame:
     """Sessions (window_start, window_end) of a key no more than `gap` apart become one; the value updated last wins."""
-    order = W.partitionBy(*keys).orderBy("window_start", "window_end")
-    before = F.max("window_end").over(order.rowsBetween(W.unboundedPreceding, -1))
-    fresh = F.when(F.col("window_start") <= before + F.expr(f"interval {interval(gap)}"), 0).otherwise(1)
-    island = sessions.withColumn("_new", fresh).withColumn("_island", F.sum("_new").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    order = ["window_start", "window_end"]
+    seen = running(sessions, keys, order, exclusive=True, _before=("max", F.col("window_end")))
+    fresh = F.when(F.col("window_start") <= F.col("_before") + F.expr(f"interval {interval(gap)}"), 0).otherwise(1)
+    island = running(seen.withColumn("_new", fresh), keys, order, _island=("sum", F.col("_new")))
     return island.groupBy(*keys, "_island").agg(F.min("window_start").alias("window_start"), F.max("window_end").alias("window_end"), F.max_by(value, F.struct(updated, "window_start")).alias(value), F.max(updated).alias(updated)).drop("_island")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import interval, origin_offset
+from .running import running
 
 
 @dataclass(frozen=True)
@@ -87,6 +88,4 @@ def expired(windows: DataFrame, watermark: Column, lateness: timedelta, gap: tim
 
 def count_trigger(df: DataFrame, keys: list[str], order: list[str], n: int) -> DataFrame:
     """Rows at which a trigger that fires from the n-th row of a (key, window) on would fire, with the running count."""
-    from pyspark.sql import Window as W
-
-    return df.withColumn("running_count", F.row_number().over(W.partitionBy(*keys).orderBy(*order)).cast("long")).where(F.col("running_count") >= n)
+    return running(df, keys, order, running_count=("count", None)).where(F.col("running_count") >= n)
