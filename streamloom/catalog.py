@@ -8,6 +8,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 from datetime import datetime, timedelta, timezone
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 from .functions import scalar as S
 from .operators import aggregates as A
 from .operators import alerts as AL
+from .operators import cluster as CL
+from .operators import collectors as CO
 from .operators import exporters as X
 from .operators import groups as G
 from .operators import joins as J
@@ -975,3 +978,124 @@ def rebalance(spark, d):
 def stream_branch_merge(spark, d):
     high, bought = StreamBuilder().source(data=io.events_stream(spark, d)).branch(F.col("value") > 20, F.col("event_type") == "purchase")
     return runtime.drain(high.map("event_id").merge(bought.map("event_id")).df, "branch")
+
+
+BUCKET_N_SQL = """WITH RECURSIVE o AS (SELECT user_id, event_id, epoch_us(ts) AS t, 1 + event_id % 5 AS w, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events),
+s AS (SELECT user_id, r, event_id, t AS last, CASE WHEN w <= 4 THEN 4 - w ELSE 4 END AS left_, w <= 4 AS ok FROM o WHERE r = 1 UNION ALL
+SELECT user_id, r, event_id, CASE WHEN add > 0 THEN t ELSE last END, n - CASE WHEN n >= w THEN w ELSE 0 END, n >= w FROM (
+SELECT o.user_id, o.event_id, o.r, o.t, o.w, s.last, (o.t - s.last) * 4 // 86400000000 AS add, CASE WHEN (o.t - s.last) * 4 // 86400000000 > 0 THEN least(s.left_ + (o.t - s.last) * 4 // 86400000000, 4) ELSE s.left_ END AS n FROM s JOIN o ON o.user_id = s.user_id AND o.r = s.r + 1))
+SELECT event_id, ok AS allowed, left_::BIGINT AS tokens_left FROM s"""
+
+
+@query("token_bucket_n", BUCKET_N_SQL)
+def token_bucket_n(spark, d):
+    """Requests for 1 to 5 tokens at once; 5 are never there."""
+    e = io.events(spark, d).select("event_id", "user_id", "ts", (1 + F.col("event_id") % 5).alias("wanted"))
+    return LI.token_bucket(e, "user_id", "ts", 4, DAY, "wanted", ["ts", "event_id"]).select("event_id", "allowed", "tokens_left")
+
+
+@query("alert_inhibit", f"SELECT id FROM {ALERT_SQL} a WHERE severity <> 'warning' OR NOT EXISTS (SELECT 1 FROM {ALERT_SQL} b WHERE b.severity = 'critical' AND b.status = 'firing' AND b.id % 20 = a.id % 20)")
+def alert_inhibit(spark, d):
+    zone = F.map_concat("alert_labels", F.create_map(F.lit("zone"), (F.col("id") % 20).cast("string")))
+    return AL.inhibit(alert_rows(spark, d).withColumn("alert_labels", zone), {"severity": "critical"}, {"severity": "warning"}, ["zone"]).select("id")
+
+
+@query("alert_slack", f"""SELECT g, '{{"channel":"#ops","username":"bot","text":"' || CASE WHEN count(*) = 1 THEN 'Alert: Latest - ' || max(status) ELSE count(*) FILTER (status = 'firing') || ' firing, ' || count(*) FILTER (status = 'inactive') || ' resolved alerts' END
+|| '","attachments":[{{"color":"' || CASE max(CASE WHEN status = 'firing' THEN weight ELSE 1 END) WHEN 4 THEN 'danger' WHEN 1 THEN 'good' ELSE 'warning' END || '","title":"State"}}]}}' AS body FROM (SELECT id % 40 AS g, * FROM {ALERT_SQL}) GROUP BY g""")
+def alert_slack(spark, d):
+    return AL.slack(alert_rows(spark, d).withColumn("g", F.col("id") % 40), ["g"], "#ops", "bot", "State")
+
+
+@query("collector_readings", """WITH n AS (SELECT event_type AS t, count(*) AS n, sum(user_id) AS s FROM events GROUP BY ALL), p AS (SELECT event_type AS t, user_id % 4 AS p, count(*) AS n FROM events GROUP BY ALL)
+SELECT c || '_' || t AS name, '' AS labels, n::DOUBLE AS value FROM n, (SELECT unnest(['storage', 'network', 'raft', 'stream', 'consumer_group', 'producer']) AS c)
+UNION ALL SELECT c || '_' || t || '_busy_seconds', '', s * 1000 / 1e9 FROM n, (SELECT unnest(['raft', 'stream', 'producer']) AS c)
+UNION ALL SELECT 'raft_' || t || '_role_info', 'state=' || t, 1.0 FROM n UNION ALL SELECT 'consumer_group_' || t || '_lag', 'partition=' || p, n FROM p""")
+def collector_readings(spark, d):
+    """Numbers, durations, texts and numbers by partition of one table, as six collectors take them."""
+    e = io.events(spark, d)
+    n = e.groupBy("event_type").agg(F.count("*").cast("double").alias("n"), F.sum("user_id").alias("s"))
+    parts = e.groupBy("event_type", (F.col("user_id") % 4).cast("string").alias("p")).agg(F.count("*").cast("double").alias("n"))
+    t, none = F.col("event_type"), F.lit(None)
+    by = parts.groupBy("event_type").agg(F.map_from_entries(F.collect_list(F.struct("p", "n"))).alias("parts"))
+
+    def reading(name: Column, number: Column = none, nanos: Column = none, text: Column = none, by_part: Column = none) -> Column:
+        return F.struct(name.alias("name"), number.cast("double").alias("number"), nanos.cast("long").alias("nanos"), text.cast("string").alias("text"), by_part.cast("map<string,double>").alias("parts"))
+
+    made = [reading(t, F.col("n")), reading(F.concat(t, F.lit("_busy")), nanos=F.col("s") * 1000), reading(F.concat(t, F.lit("_role")), text=t), reading(F.concat(t, F.lit("_lag")), by_part=F.col("parts"))]
+    rows = n.join(by, "event_type").select(F.inline(F.array(*made)))
+    out = [CO.collect(rows, c) for c in ("storage", "network", "raft", "stream", "consumer_group", "producer")]
+    return reduce(DataFrame.unionAll, out).select("name", F.array_join(S.sorted_pairs(F.col("labels")), ",").alias("labels"), "value")
+
+
+def event_messages(spark, d) -> DataFrame:
+    """Events as messages: purchases and clicks are produced, the others consumed."""
+    e = io.events(spark, d)
+    return e.select(F.col("event_type").alias("topic"), F.col("event_type").isin("purchase", "click").alias("produced"), (F.col("user_id") * 100).alias("size"), (F.col("user_id") % 13).cast("double").alias("lag"))
+
+
+@query("monitor_counters", "SELECT event_type AS topic, CASE WHEN event_type IN ('purchase', 'click') THEN 'messages_produced_total' ELSE 'messages_consumed_total' END AS name, count(*)::DOUBLE AS value FROM events GROUP BY event_type")
+def monitor_counters(spark, d):
+    return CO.message_monitor(event_messages(spark, d), "produced", "size", "lag")[0].select("topic", "name", "value")
+
+
+@query("monitor_histograms", """WITH m AS (SELECT event_type AS topic, event_type IN ('purchase', 'click') AS made, CASE WHEN event_type IN ('purchase', 'click') THEN user_id * 100.0::DOUBLE ELSE (user_id % 13)::DOUBLE END AS x FROM events),
+b AS (SELECT true AS made, unnest([100.0, 1024, 10240, 102400, 1048576, 10485760, 'inf'::DOUBLE]) AS le UNION ALL SELECT false, unnest([0.001, 0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0, 'inf'::DOUBLE]))
+SELECT topic, CASE WHEN made THEN 'message_size_bytes' ELSE 'consumer_lag_seconds' END AS name, CASE WHEN isinf(le) THEN -1 ELSE le END AS le, count(*) FILTER (x <= le) AS bucket_count, count(*) AS total_count FROM m JOIN b USING (made) GROUP BY topic, made, le""")
+def monitor_histograms(spark, d):
+    h = CO.message_monitor(event_messages(spark, d), "produced", "size", "lag")[1]
+    return h.select("topic", "name", F.when(F.col("le") == float("inf"), -1.0).otherwise(F.col("le")).alias("le"), "bucket_count", "total_count")
+
+
+def cluster_of(spark, d) -> CL.Cluster:
+    """Regions as brokers, nations as topics; every fifth topic is deleted again."""
+    c = CL.Cluster(clock=lambda: NOW)
+    for r in io.table(spark, d, "region").orderBy("r_regionkey").collect():  # control data: a row a broker
+        c.register_broker(f"b{r.r_regionkey}", "localhost", 9000 + r.r_regionkey)
+    for n in io.table(spark, d, "nation").orderBy("n_nationkey").collect():
+        c.create_topic(n.n_name, n.n_nationkey % 4 + 1, n.n_regionkey % 3 + 1)
+        if n.n_nationkey % 5 == 0:
+            c.delete_topic(n.n_name)
+    return c
+
+
+TOPICS_SQL = "(SELECT n_name AS topic, n_nationkey % 4 + 1 AS partitions, n_regionkey % 3 + 1 AS replication_factor FROM nation WHERE n_nationkey % 5 <> 0)"
+
+
+@query("cluster_topics", f"SELECT topic, partitions::BIGINT AS partitions, replication_factor::BIGINT AS replication_factor FROM {TOPICS_SQL}")
+def cluster_topics(spark, d):
+    return cluster_of(spark, d).topics(spark).select("topic", F.col("partitions").cast("long"), F.col("replication_factor").cast("long"))
+
+
+@query("cluster_events", "SELECT 'broker_registered' AS type, count(*) AS n FROM region UNION ALL SELECT 'topic_created', count(*) FROM nation UNION ALL SELECT 'topic_deleted', count(*) FROM nation WHERE n_nationkey % 5 = 0")
+def cluster_events(spark, d):
+    return cluster_of(spark, d).events(spark).groupBy("type").agg(F.count("*").alias("n"))
+
+
+@query("cluster_placement", f"SELECT topic, p AS partition, j AS replica, 'b' || ((p + j) % (SELECT count(*) FROM region)) AS broker_id, j = 0 AS is_leader FROM (SELECT *, unnest(range(replication_factor)) AS j FROM (SELECT *, unnest(range(partitions)) AS p FROM {TOPICS_SQL}))")
+def cluster_placement(spark, d):
+    out = cluster_of(spark, d).placement(spark)
+    return out.select("topic", F.col("partition").cast("long"), F.col("replica").cast("long"), "broker_id", "is_leader")
+
+
+@query("partition_events", """WITH b AS (SELECT user_id % 50 AS p, count(*) AS hw FROM events WHERE ts < TIMESTAMP '2024-01-10' AND user_id % 50 <> 7 GROUP BY 1), a AS (SELECT user_id % 50 AS p, count(*) AS hw FROM events WHERE ts < TIMESTAMP '2024-01-20' AND user_id % 50 <> 3 GROUP BY 1),
+j AS (SELECT p, b.hw AS x, a.hw AS y FROM b FULL JOIN a USING (p))
+SELECT p AS partition, 'partition_added' AS type, '{"leader":"n' || y % 3 || '","replicas":["n0","n1","n2"]}' AS data FROM j WHERE x IS NULL
+UNION ALL SELECT p, 'partition_removed', '{"leader":"n' || x % 3 || '"}' FROM j WHERE y IS NULL
+UNION ALL SELECT p, 'leader_changed', '{"old_leader":"n' || x % 3 || '","new_leader":"n' || y % 3 || '"}' FROM j WHERE x % 3 <> y % 3
+UNION ALL SELECT p, 'isr_changed', '{"new_isr":["n' || y % 2 || '"]}' FROM j WHERE x % 2 <> y % 2
+UNION ALL SELECT p, 'high_watermark_updated', '{"high_watermark":' || y || '}' FROM j WHERE x <> y""")
+def partition_events(spark, d):
+    def state(until: str, without: int) -> DataFrame:
+        e = io.events(spark, d).where(F.col("ts") < F.lit(until).cast("timestamp")).withColumn("partition", F.col("user_id") % 50).where(F.col("partition") != without)
+        n = e.groupBy("partition").agg(F.count("*").alias("high_watermark"))
+        node = lambda m: F.concat(F.lit("n"), F.col("high_watermark") % m)
+        return n.select(F.lit("events").alias("topic"), "partition", node(3).alias("leader"), F.array(*map(F.lit, ("n0", "n1", "n2"))).alias("replicas"), F.array(node(2)).alias("isr"), "high_watermark")
+
+    return R.partition_events(state("2024-01-10", 7), state("2024-01-20", 3)).select("partition", "type", "data")
+
+
+@query("conflict_events", f"""SELECT event_id, 'conflict_detected' AS type, '{{"offset":' || lo || ',"conflict_type":"' || conflict || '"}}' AS data FROM {VERSIONS_SQL} WHERE conflict IS NOT NULL
+UNION ALL SELECT event_id, 'conflict_resolved', '{{"offset":' || lo || ',"strategy":"last_write","side":"' || {LAST_SQL} || '"}}' FROM {VERSIONS_SQL} WHERE conflict IS NOT NULL""")
+def conflict_events(spark, d):
+    pairs = versions(spark, d).withColumn("topic", F.lit("events")).withColumn("partition", F.col("event_id")).withColumn("offset", F.col("local.offset"))
+    return R.conflict_events(pairs, "last_write").select(F.col("partition").alias("event_id"), "type", "data")

@@ -86,7 +86,7 @@ def colour(alerts: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 def route(alerts: DataFrame, routes: list[tuple[str, dict[str, str | re.Pattern], list[str]]], labels: str = "alert_labels") -> DataFrame:
     """receiver and group_key of the first route (receiver, labels that must be equal or match an expression whole, grouping labels) that matches; else `default`, grouped by alertname."""
-    named = merge_labels(F.create_map(F.lit("alertname"), F.col("rule")), F.col(labels))
+    named = merge_labels(F.create_map(F.lit("alertname"), F.col("rule")), F.coalesce(labels, F.create_map().cast("map<string,string>")))
     receiver, key = F.lit("default"), group_key(F.col("_l"), ["alertname"])
     for name, match, by in reversed(routes):
         hit = F.lit(True)
@@ -108,16 +108,16 @@ def suppress(notifications: DataFrame, keys: list[str], ts: str = "ts", interval
     rows = notifications.repartition(*keys).sortWithinPartitions(*keys, ts)
 
     def run(batches):
-        last: dict[tuple, int] = {}
+        current, last = None, 0
         for pdf in batches:
-            keep = np.zeros(len(pdf), bool)
-            at = pd.to_datetime(pdf[ts]).to_numpy("datetime64[us]").astype(np.int64)
-            for i, k in enumerate(zip(*(pdf[c] for c in keys))):
-                if k not in last:
-                    last = {}  # rows are sorted by key: the earlier ones are done
-                if k not in last or at[i] - last[k] >= interval_us:
-                    keep[i], last[k] = True, at[i]
-            yield pdf[keep]
+            at = pd.to_datetime(pdf[ts]).to_numpy("datetime64[us]").astype(np.int64).tolist()
+            keep = []
+            for k, t in zip(pdf[keys].itertuples(index=False, name=None), at):
+                due = k != current or t - last >= interval_us
+                if due:
+                    current, last = k, t
+                keep.append(due)
+            yield pdf[np.array(keep, bool)]
 
     return rows.mapInPandas(run, notifications.schema)
 
@@ -136,6 +136,42 @@ def email(alerts: DataFrame, keys: list[str], to: list[str], subject: str | None
     return notification_text(alerts).groupBy(*keys).agg(F.concat(head, text).alias("message"))
 
 
+def slack(alerts: DataFrame, keys: list[str], channel: str, username: str, title: str) -> DataFrame:
+    """A JSON body a group for a chat webhook: one alert's name and status or how many fire and are resolved, coloured by the worst that fires."""
+    firing, resolved = F.count_if(F.col("status") == "firing"), F.count_if((F.col("status") == "inactive") & F.col("ends_at").isNotNull())
+    top = F.max(F.when(F.col("status") == "firing", severity_weight(F.col("severity"))).otherwise(1))
+    one = F.concat(F.lit("Alert: "), F.max("rule"), F.lit(" - "), F.max("status"))
+    groups = alerts.groupBy(*keys).agg(
+        F.when(F.count("*") == 1, one).otherwise(F.format_string("%d firing, %d resolved alerts", firing, resolved)).alias("_text"),
+        F.when(top == 4, "danger").when(top >= 2, "warning").otherwise("good").alias("_colour"),
+    )
+    part = F.array(F.struct(F.col("_colour").alias("color"), F.lit(title).alias("title")))
+    body = F.struct(F.lit(channel).alias("channel"), F.lit(username).alias("username"), F.col("_text").alias("text"), part.alias("attachments"))
+    return groups.select(*keys, F.to_json(body).alias("body"))
+
+
+def inhibit(alerts: DataFrame, source: dict[str, str], target: dict[str, str], equal: list[str], labels: str = "alert_labels") -> DataFrame:
+    """Alerts without those that a firing alert keeps silent: targets (labels as given) for which a source fires with the same `equal` labels.
+
+    `severity` and `alertname` count as labels; a label that both lack is the same, and an alert that is itself a source stays.
+    """
+    named = merge_labels(F.create_map(F.lit("alertname"), F.col("rule"), F.lit("severity"), F.col("severity")), F.coalesce(labels, F.create_map().cast("map<string,string>")))
+    rows = alerts.withColumn("_l", named)
+
+    def matches(match: dict[str, str]) -> Column:
+        hit = F.lit(True)
+        for k, v in match.items():
+            hit = hit & F.coalesce(F.col("_l")[k] == v, F.lit(False))
+        return hit
+
+    same = [F.coalesce(F.concat(F.lit("="), F.col("_l")[k]), F.lit("")).alias(f"_e{i}") for i, k in enumerate(equal)]
+    marks = [f"_e{i}" for i in range(len(equal))]
+    silencing = rows.where(matches(source) & (F.col("status") == "firing")).select(*same, F.lit(True).alias("_silent")).distinct()
+    own = rows.select("*", *same, (matches(target) & ~matches(source)).alias("_target"))
+    joined = own.join(silencing, marks, "left") if marks else own.join(silencing, F.col("_target"), "left")
+    return joined.where(~F.col("_target") | F.col("_silent").isNull()).select(*alerts.columns)
+
+
 def payload(alerts: DataFrame, keys: list[str]) -> DataFrame:
     """A JSON body a group, for a webhook called from foreachBatch."""
     body = F.struct("rule", "severity", "status", "value", "starts_at")

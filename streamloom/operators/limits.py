@@ -34,18 +34,19 @@ def token_bucket(requests: DataFrame, key: str, ts: str, rate: int, window: time
     def run(batches):
         current, tokens, last = object(), 0, 0
         for pdf in batches:
-            at = pd.to_datetime(pdf[ts]).to_numpy("datetime64[us]").astype(np.int64)
-            n = pdf[amount].to_numpy() if amount else np.ones(len(pdf), int)
-            allowed, left = np.zeros(len(pdf), bool), np.zeros(len(pdf), np.int64)
-            for i, k in enumerate(pdf[key]):
+            at = pd.to_datetime(pdf[ts]).to_numpy("datetime64[us]").astype(np.int64).tolist()
+            n = pdf[amount].tolist() if amount else [1] * len(pdf)
+            allowed, left = [], []
+            for k, t, wanted in zip(pdf[key].tolist(), at, n):
                 if k != current:
-                    current, tokens, last = k, rate, int(at[i])
-                tokens, last = refill(tokens, last, int(at[i]), rate, size, rate)
-                if tokens >= n[i]:
-                    tokens -= int(n[i])
-                    allowed[i] = True
-                left[i] = tokens
-            yield pdf.assign(allowed=allowed, tokens_left=left)
+                    current, tokens, last = k, rate, t
+                tokens, last = refill(tokens, last, t, rate, size, rate)
+                ok = tokens >= wanted
+                if ok:
+                    tokens -= wanted
+                allowed.append(ok)
+                left.append(tokens)
+            yield pdf.assign(allowed=np.array(allowed, bool), tokens_left=np.array(left, np.int64))
 
     return rows.mapInPandas(run, schema)
 
@@ -59,16 +60,30 @@ def adapt(rate: Column, requests: Column, errors: Column, threshold: float, low:
 
 
 def adaptive_rates(counts: DataFrame, keys: list[str], order: list[str], base: int, threshold: float, low: int, high: int) -> DataFrame:
-    """`rate` in force after each interval (requests, errors) of a key, one adjustment an interval, by an ordered fold."""
-    rows = F.sort_array(F.collect_list(F.struct(*order, "requests", "errors")))
-
-    def step(s, r):
-        rate = adapt(s["rate"], r["requests"], r["errors"], threshold, low, high)
-        item = F.struct(*[r[c].alias(c) for c in order], rate.alias("rate"))
-        return F.struct(rate.alias("rate"), F.concat(s["out"], F.array(item)).alias("out"))
-
-    fields = ", ".join(f"`{c}` {counts.schema[c].dataType.simpleString()}" for c in order)
-    empty = F.expr(f"cast(array() as array<struct<{fields.replace('` ', '`:')}, rate:bigint>>)".replace(", rate", ",rate"))
-    zero = F.struct(F.lit(base).cast("long").alias("rate"), empty.alias("out"))
-    out = counts.groupBy(*keys).agg(F.aggregate(rows, zero, step, lambda s: s["out"]).alias("_o"))
-    return out.select(*keys, F.inline("_o"))
+    """`rate` in force after each interval (requests, errors) of a key, one adjustment an interval.
+
+    A rate depends on the one before: keys are walked in order within sorted partitions, one number held.
+    """
+    import math
+
+    from pyspark.sql import types as T
+
+    rows = counts.select(*keys, *order, "requests", "errors").repartition(*keys).sortWithinPartitions(*keys, *order)
+    schema = T.StructType([*[rows.schema[c] for c in (*keys, *order)], T.StructField("rate", T.LongType())])
+
+    def run(batches):
+        current, rate = None, base
+        for pdf in batches:
+            out = []
+            for k, q, e in zip(pdf[keys].itertuples(index=False, name=None), pdf["requests"].tolist(), pdf["errors"].tolist()):
+                if k != current:
+                    current, rate = k, base
+                share = e / q if q > 0 else 0.0
+                if share > threshold:
+                    rate = max(math.floor(rate * 0.8), low)
+                elif share < threshold / 2:
+                    rate = min(math.floor(rate * 1.2), high)
+                out.append(rate)
+            yield pdf[[*keys, *order]].assign(rate=out)
+
+    return rows.mapInPandas(run, schema)

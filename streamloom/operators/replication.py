@@ -114,3 +114,53 @@ def commit_index(matches: DataFrame, by: list[str], index: str = "match_index")
     """The highest index a majority has reached: the element at n / 2 of the sorted ones, from above."""
     top = F.sort_array(F.collect_list(index), asc=False)
     return matches.groupBy(*by).agg(F.get(top, F.floor(F.count("*") / 2).cast("int")).alias("commit_index"))
+
+
+def _event(kind: str, when: Column, **data: Column) -> Column:
+    body = F.to_json(F.struct(*[v.alias(k) for k, v in data.items()]))
+    return F.when(when, F.struct(F.lit(kind).alias("type"), body.alias("data")))
+
+
+def partition_events(before: DataFrame, after: DataFrame) -> DataFrame:
+    """What changed between two states of the partition table (topic, partition, leader, replicas, isr, high_watermark): a row an event
+    (topic, partition, type, data as JSON), of added and removed partitions, leaders, in-sync sets and high watermarks that moved.
+
+    Both states meet in one full join by partition; partitions that stayed as they were give no row.
+    """
+    b, a = before.select("topic", "partition", F.struct("leader", "replicas", "isr", "high_watermark").alias("b")), after.select("topic", "partition", F.struct("leader", "replicas", "isr", "high_watermark").alias("a"))
+    was, now, both = F.col("b").isNotNull(), F.col("a").isNotNull(), F.col("b").isNotNull() & F.col("a").isNotNull()
+
+    def moved(name: str) -> Column:
+        return both & ~F.col(f"b.{name}").eqNullSafe(F.col(f"a.{name}"))
+
+    events = F.array(
+        _event("partition_added", now & ~was, leader=F.col("a.leader"), replicas=F.col("a.replicas")),
+        _event("partition_removed", was & ~now, leader=F.col("b.leader")),
+        _event("leader_changed", moved("leader"), old_leader=F.col("b.leader"), new_leader=F.col("a.leader")),
+        _event("isr_changed", moved("isr"), new_isr=F.col("a.isr")),
+        _event("high_watermark_updated", moved("high_watermark"), high_watermark=F.col("a.high_watermark")),
+    )
+    return b.join(a, ["topic", "partition"], "full").select("topic", "partition", F.inline(F.filter(events, lambda e: e.isNotNull())))
+
+
+def replica_events(before: DataFrame, after: DataFrame, now: Column) -> DataFrame:
+    """Replicas that fell out of sync (replica_lag, with how far) or are in sync again (replica_caught_up) between two replica tables."""
+    key = ["topic", "partition", "replica"]
+    was = before.select(*key, in_sync(now).alias("_was"))
+    rows = after.withColumn("_is", in_sync(now)).join(was, key)
+    behind = F.col("log_end_offset") - F.col("last_fetch_offset")
+    events = F.array(
+        _event("replica_lag", F.col("_was") & ~F.col("_is"), replica=F.col("replica"), lag_messages=behind),
+        _event("replica_caught_up", ~F.col("_was") & F.col("_is"), replica=F.col("replica")),
+    )
+    return rows.select("topic", "partition", F.inline(F.filter(events, lambda e: e.isNotNull())))
+
+
+def conflict_events(pairs: DataFrame, strategy: str) -> DataFrame:
+    """A conflict_detected and a conflict_resolved event for each pair of messages (topic, partition, offset, local, remote) that differ; no resolution where no side wins."""
+    rows = pairs.withColumn("_type", conflict_type()).where("_type is not null").withColumn("_won", winner(strategy))
+    events = F.array(
+        _event("conflict_detected", F.lit(True), offset=F.col("offset"), conflict_type=F.col("_type")),
+        _event("conflict_resolved", F.col("_won.side").isNotNull(), offset=F.col("offset"), strategy=F.lit(strategy), side=F.col("_won.side")),
+    )
+    return rows.select("topic", "partition", F.inline(F.filter(events, lambda e: e.isNotNull())))

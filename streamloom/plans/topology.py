@@ -29,7 +29,7 @@ class StreamBuilder:
         self.windows = WindowRegistry()
 
     def source(self, *topics: str, data: DataFrame | None = None, partitions: list[int] | None = None, key: str = "key", ts: str = "ts", order: tuple[str, ...] | None = None) -> Stream:
-        """The rows of one table, or of registered sources by name; `partitions` restricts a log."""
+        """The rows of one table, or of registered sources by name; `partitions` restricts a log; event time is `ts`, or what the configuration takes it from."""
         if data is None:
             if not topics:
                 raise ValueError("a source needs a table or topics")
@@ -43,6 +43,8 @@ class StreamBuilder:
             data = data.where(F.col("topic").isin(list(topics)))
         if partitions is not None:
             data = data.where(F.col("partition").isin(partitions))
+        if self.config.timestamp is not None:
+            data = data.withColumn(ts, self.config.timestamp)
         return Stream(self, data, key, ts, order or (ts,))
 
     def register(self, topic: str, data: DataFrame) -> None:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from datetime import timedelta
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -47,11 +50,28 @@ def upsert(df: DataFrame, merge: Callable[[DataFrame, int], None], checkpoint: s
     return df.writeStream.outputMode("update").foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+@dataclass(frozen=True)
+class RetryPolicy:
+    """How often a failed query starts again from its checkpoint, and the growing wait before each time."""
+
+    retries: int = 3
+    delay: timedelta = timedelta(milliseconds=100)
+    factor: float = 2.0
+    most: timedelta = timedelta(seconds=5)
+
+    def delays(self) -> list[timedelta]:
+        return [min(self.delay * self.factor**i, self.most) for i in range(self.retries)]
+
+
 class Application:
-    """A topology's sinks as queries: start, stop, metrics."""
+    """A topology's sinks as queries: start, stop, metrics.
+
+    With a retry policy, `wait` starts a failed query again from its checkpoint: the file sink commits each batch once.
+    """
 
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.name = spark, name
+    def __init__(self, spark: SparkSession, name: str, retry: RetryPolicy | None = None):
+        self.spark, self.name, self.retry = spark, name, retry or RetryPolicy(retries=0)
+        self._start: dict[str, Callable[[], StreamingQuery]] = {}
         self.sinks: dict[str, DataFrame] = {}
         self.queries: dict[str, StreamingQuery] = {}
         self.on_error: Callable[[str, Exception], None] | None = None
@@ -70,16 +90,26 @@ class Application:
             if not df.isStreaming:
                 df.write.mode("overwrite").parquet(f"{root}/{topic}/data")
                 continue
-            self.queries[topic] = to_table(df, f"{root}/{topic}/data", f"{root}/{topic}/checkpoint", every=every)
+            self._start[topic] = partial(to_table, df, f"{root}/{topic}/data", f"{root}/{topic}/checkpoint", every=every)
+            self.queries[topic] = self._start[topic]()
 
     def wait(self) -> None:
-        for topic, q in self.queries.items():
-            try:
-                q.awaitTermination()
-            except Exception as e:
-                if self.on_error is None:
-                    raise
-                self.on_error(topic, e)
+        for topic in self.queries:
+            delays = self.retry.delays()
+            while True:
+                try:
+                    self.queries[topic].awaitTermination()
+                    break
+                except Exception as e:
+                    if self.on_error is not None:
+                        self.on_error(topic, e)
+                    if delays:
+                        time.sleep(delays.pop(0).total_seconds())
+                        self.queries[topic] = self._start[topic]()
+                        continue
+                    if self.on_error is None:
+                        raise
+                    break
 
     def stop(self) -> None:
         for q in self.queries.values():
